@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from loomgraph.llm import documented, quantiles
+
+_MODULES = (documented, quantiles)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
