@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import documented, quantiles
+from loomgraph.llm import documented, quantiles, truncation
 
-_MODULES = (documented, quantiles)
+_MODULES = (documented, truncation, quantiles)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
