@@ -170,6 +170,11 @@ def is_copy(prompt: str, response: str) -> bool:
     kept = sum(a or b for a, b in zip([False, *good], [*good, False]))
     if kept < 0.8 * len(words):
         return False
+    # a whole sentence of the prompt has to be there: an answer, too, may consist of words of the question
+    own_pairs = set(zip(words, words[1:]))
+    sentences = ([w.lower() for w in _TOKENS.findall(x)] for x in re.split(r"(?<=[.:!?。？！])\s+|\n+", prompt))
+    if not any(len(x) > 3 and sum(q in own_pairs for q in zip(x, x[1:])) >= 0.65 * (len(x) - 1) for x in sentences):
+        return False
     # a changed piece of the prompt's code is an answer; a copy repeats what was asked in words
     own, theirs = prose(said), prose(prompt)
     if not own or "```" in response and "```" not in prompt:
