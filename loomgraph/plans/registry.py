@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import references
+from loomgraph.plans import graph, metrics, references
 
-_MODULES = (references,)
+_MODULES = (references, metrics, graph)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
