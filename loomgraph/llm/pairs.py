@@ -57,13 +57,19 @@ _REFUSALS = re.compile(
     r"|(?:抱歉|对不起|无法|不能)[^。！？\n]{0,20}(?:帮助|回答|协助|提供|处理)",
     re.IGNORECASE,
 )
+# One of these stands in every text that _REFUSALS finds, in lower case.
+_CUES = ("cannot", "can't", "can’t", "can not", "won't", "won’t", "will not", "able", "declin", "refus", "rather not", "allowed", "permitted", "authori", "may not", "do not", "don't", "don’t", "unfortunately", "sorry", "regret", "possible", "denied", "rejected",
+         "kann", "darf", "möchte", "werde", "können", "dürfen", "désolé", "regrette", "ne p", "ne suis", "lo siento", "no pued", "no pod", "no me es", "não", "lamento", "desculp", "sinto muito", "non p", "non mi", "non sono",
+         "mi dispiace", "spiacente", "не ", "извините", "к сожалению", "お", "ご", "対応", "回答", "協力", "抱歉", "对不起", "无法", "不能")
 _NOTHING = {"null", "none", "nil", "na", "undefined", "nan", "nul"}
 _LABEL = re.compile(r"^\W*(?:question|prompt|q|user|input|request|frage|pregunta|pergunta|domanda|вопрос|質問|问题|task|query|instruction)\s*[:：\-]\s*", re.IGNORECASE)
 
 _FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
 _CODE_LINE = re.compile(r"^(?:[ \t]*(?:[@{}|#<]|/[/*]|\*[ /]|\*$).*|.*[;{}]|[ \t]{4,}.*|[ \t]*(?:public|private|protected|static|final|import|package)\b.*)[ \t\r]*$", re.MULTILINE)
 _QUOTED = re.compile(r'"[^"\n]{0,400}"|«[^»\n]{0,400}»|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|`[^`\n]{0,400}`|「[^」\n]{0,400}」')
-_NAME = re.compile(r"https?://\S+|<[^<>\n]{0,80}>|[A-Za-z0-9_$./\\@-]*(?:[a-z0-9][A-Z]|[\d_/\\@$]|[A-Za-z][.-][A-Za-z])[A-Za-z0-9_$./\\@-]*")
+_NAME = re.compile(
+    r"https?://\S+|<[^<>\n]{0,80}>|(?<![A-Za-z0-9_$./\\@-])(?=[A-Za-z]*(?:[a-z][A-Z]|[\d_/\\@$]|(?<=[A-Za-z])[.-][A-Za-z0-9]))[A-Za-z0-9_$./\\@-]+"
+)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 
@@ -142,8 +148,12 @@ def is_refusal(response: str) -> bool:
     """The response declines, and nothing in it but the declining sentence names anything of the code."""
     if len(response) > 700 or "```" in response:
         return False
+    low = response.lower()
+    if not any(cue in low for cue in _CUES):
+        return False
+    # each sentence that names something of the code is an answer, unless it is the declining one itself: there is one at most of these
     text = _QUOTED.sub(" “” ", response)
-    if not _REFUSALS.search(text):
+    if len(re.findall(r"[a-z0-9][A-Z]|\d", text)) > 12 or not _REFUSALS.search(text):
         return False
     declines = 0
     for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", text):

@@ -38,7 +38,9 @@ RARE = 0.02
 _STOPS = (".", "?", "!", "。", "？", "！", "।", "؟")
 _PART = ""  # between an identifier's shape and its last part
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-_TOKEN = rf"[{_CJK}]|[\p{{L}}\p{{M}}\p{{N}}_$&&[^{_CJK}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}_$]"
+_WIDE = rf"[\p{{L}}\p{{M}}\p{{N}}_$&&[^{_CJK}]]"
+#: words (those in plain letters first, which is faster), single characters of scripts without blanks, and signs
+_TOKEN = rf"[A-Za-z0-9_$]++{_WIDE}*+|{_WIDE}++|[^\s\p{{M}}]"
 _MARK = (
     r"(?i)(?:…|\.\.\.|[\[(<{](?:…|\.\.\.)[\])>}]"
     r"|[\[(<{][^\])>}\n]{0,40}\b(?:truncated|clipped|cut|cut off|omitted|snip|snipped|abbreviated|shortened|chars?|characters|bytes|more lines|more tokens)\b[^\])>}\n]{0,40}[\])>}])\s*\z"
@@ -48,9 +50,10 @@ _CLOSED = r"""\"{3}[\s\S]*?\"{3}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?:\\.|[^'
 
 
 def _abstract(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\b[A-Z][\w$]*[a-z0-9]([A-Z][a-z]*)\d*\b", f"Xx{_PART}$1")
-    text = F.regexp_replace(text, r"\b[a-z][\w$]*([A-Z][a-z]*)\d*\b(?!)", f"xX{_PART}$1")
-    return F.regexp_replace(text, r"[\w$]*\d[\w$]*", "0")
+    # possessive quantifiers throughout: a word that is no identifier is given up at once
+    text = F.regexp_replace(text, r"\b[A-Z][a-z0-9_$]++(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b", f"Xx{_PART}$1")
+    text = F.regexp_replace(text, r"\b[a-z][a-z0-9_$]*+(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b(?!)", f"xX{_PART}$1")
+    return F.regexp_replace(text, r"\b[A-Za-z_$]*+\d[\w$]*+", "0")
 
 
 def _plain(word: Column) -> Column:
@@ -184,7 +187,7 @@ def truncated_values(values: DataFrame) -> DataFrame:
     t = F.col("t")
     ends = (
         open_structure(rows)
-        .withColumn("shown", F.col("open") | F.col("text").rlike(_MARK))
+        .withColumn("shown", F.col("open") | F.right(F.rtrim(F.col("text"), F.lit(" \t\r\n")), F.lit(120)).rlike(_MARK))
         .withColumn("line", _abstract(F.substring_index(F.rtrim("text", F.lit(" \t\r\n")), "\n", -1)))
         .select("table_name", "id", "field_name", "kind", "shown", _head(F.col("line")).alias("head"), _tokens(F.col("line")).alias("t"))
         .select(
