@@ -81,19 +81,17 @@ def marked_documents(documents: DataFrame, names: list[str], least: int, folder:
     return texts.mapInArrow(run, "doc_id bigint, text string, tokenizer string, marks string, ends array<int>")
 
 
-def _pieces(limit: int, overlap: int) -> Column:
-    """array<struct<piece_no, start_token, own_token, end_token>> of a string of marks."""
-    found = F.regexp_extract_all("marks", F.lit(pattern(limit, overlap)), F.lit(0))
-    ends = F.aggregate(found, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        lambda i: F.struct(
-            i.alias("piece_no"),
-            F.greatest(F.get(ends, i) - overlap, F.lit(0)).alias("start_token"),
-            F.get(ends, i).alias("own_token"),
-            F.get(ends, i + 1).alias("end_token"),
-        ),
+def _cut(marked: DataFrame) -> DataFrame:
+    """Adds piece_no, start_token and end_token: one row for each piece of the marks.
+
+    The pieces found and their ends are columns of their own: within one expression they would be found again for each use.
+    """
+    ends = F.aggregate("_found", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    piece = lambda i: F.struct(
+        i.alias("piece_no"), F.greatest(F.get("_ends", i) - F.col("_overlap"), F.lit(0)).alias("start_token"), F.get("_ends", i + 1).alias("end_token")
     )
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), piece)
+    return marked.withColumn("_ends", ends).select("*", F.inline(pieces))
 
 
 def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int]], folder: str = TOKENIZERS) -> DataFrame:
@@ -110,10 +108,12 @@ def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int
     marked = marked_documents(documents, names, min(b[2] for b in budgets), folder)
     of_budget = F.array(*(F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(n).alias("name"), F.lit(c).alias("capacity")) for b, n, c, _ in budgets))
     each = marked.withColumn("b", F.explode(F.filter(of_budget, lambda b: (b["name"] == F.col("tokenizer")) & (F.length("marks") > b["capacity"]))))
-    cut = F.lit(None)
+    found, overlap = F.lit(None), F.lit(None)
     for b, _, c, o in budgets:
-        cut = F.when(F.col("b.budget_id") == b, _pieces(c, o)).otherwise(cut)
-    rows = each.withColumn("_pieces", cut).select("b.budget_id", "doc_id", "text", "marks", "ends", F.inline("_pieces"))
+        this = F.col("b.budget_id") == b
+        found = F.when(this, F.regexp_extract_all("marks", F.lit(pattern(c, o)), F.lit(0))).otherwise(found)
+        overlap = F.when(this, o).otherwise(overlap)
+    rows = _cut(each.select("b.budget_id", "doc_id", "text", "marks", "ends", found.alias("_found"), overlap.alias("_overlap")))
     # the first place at or after the start that is no part of a character
     whole = F.length(F.regexp_extract(F.expr("substring(marks, start_token, end_token - start_token)"), "^-*", 0))
     start = F.when(F.col("start_token") == 0, 0).otherwise(F.get("ends", F.col("start_token") - 1 + whole))
