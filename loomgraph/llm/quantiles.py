@@ -219,30 +219,33 @@ def daily_summaries(values: DataFrame, keys: list[str], eps: float = EPS) -> Dat
     return merge_summaries(parts, [F.col("day"), F.pmod(F.hash(*keys), F.lit(4))], [*keys, "day"], eps * LEVELS[0], eps * LEVELS[1])
 
 
-def percentiles(daily: DataFrame, keys: list[str], eps: float = EPS, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """Percentiles of each group over all of its days: the keys, p, value, n, rank_error (tracked), rank_bound (stated).
+def read_percentiles(summaries: DataFrame, keys: list[str], eps: float, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """The keys, p, value, n, rank_error (tracked) and rank_bound (``floor(eps * n)``) of each summary and p.
 
-    ``value`` has a rank within ``rank_error`` of ``ceil(p * n)``, and ``rank_error <= rank_bound = floor(eps * n)``.
-    Days are merged into months first, then months.
+    ``value`` has a rank within ``rank_error`` of ``ceil(p * n)``, and ``rank_error <= rank_bound``.
     """
-    by_group = F.pmod(F.hash(*keys), F.lit(64))
-    months = daily.withColumn("month", F.trunc("day", "month"))
-    months = merge_summaries(months, [F.col("month"), F.pmod(F.hash(*keys), F.lit(8))], [*keys, "month"], eps * LEVELS[1], eps * LEVELS[2])
-    whole = merge_summaries(months, [by_group], keys, eps * LEVELS[2], eps)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(i, p, quantile(s, p), s[0], s[1] // 2) for i, s in enumerate(_summaries(pa.Table.from_batches([batch]))) for p in ps]
-            at, *rest = zip(*out)
-            columns = [batch.column(k).take(pa.array(at)) for k in keys]
+            at, *rest = zip(*out) if out else [[]] * 5
+            columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
             columns += [pa.array(c, kind) for c, kind in zip(rest, (pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "p", "value", "n", "rank_error"])
 
-    schema = _schema(daily, keys).removesuffix(_SUMMARY)
-    out = whole.mapInArrow(read, f"{schema}p double, value double, n bigint, rank_error bigint")
+    schema = _schema(summaries, keys).removesuffix(_SUMMARY)
+    out = summaries.mapInArrow(read, f"{schema}p double, value double, n bigint, rank_error bigint")
     return out.withColumn("rank_bound", F.floor(F.col("n") * eps).cast("bigint"))
 
 
+def percentiles(daily: DataFrame, keys: list[str], eps: float = EPS, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """Percentiles of each group over all of its days, see ``read_percentiles``. Days are merged into months first, then months."""
+    months = daily.withColumn("month", F.trunc("day", "month"))
+    months = merge_summaries(months, [F.col("month"), F.pmod(F.hash(*keys), F.lit(8))], [*keys, "month"], eps * LEVELS[1], eps * LEVELS[2])
+    whole = merge_summaries(months, [F.pmod(F.hash(*keys), F.lit(64))], keys, eps * LEVELS[2], eps)
+    return read_percentiles(whole, keys, eps, ps)
+
+
 def call_measures(calls: DataFrame) -> DataFrame:
     """One row for each call and measure: agent_name, model, day, measure, value.
 
@@ -266,5 +269,10 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(daily_summaries(call_measures(table(spark, d, "llm_call_metrics")), KEYS), KEYS)
 
 
-QUERIES = {"p4_percentiles": p4_percentiles}
+def p4_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of single days, from the summaries that ``p4_percentiles`` combines."""
+    return read_percentiles(daily_summaries(call_measures(table(spark, d, "llm_call_metrics")), KEYS), [*KEYS, "day"], EPS)
+
+
+QUERIES = {"p4_daily": p4_daily, "p4_percentiles": p4_percentiles}
 SQL: dict[str, str] = {}

@@ -50,6 +50,11 @@ def test_query_on_tables(spark, data):
         x = calls[(calls.agent_name == r.agent_name) & (calls.model == r.model)][r.measure].dropna()
         x = x[x != -1]
         assert len(x) == r.n and r.rank_error <= r.rank_bound and off(x.to_numpy(), r.value, r.p) <= r.rank_error
+    days = q.p4_daily(spark, d).toPandas()
+    for r in days.sample(200, random_state=1).itertuples():
+        x = calls[(calls.agent_name == r.agent_name) & (calls.model == r.model) & (calls.call_ts.dt.date == r.day)][r.measure].dropna()
+        x = x[x != -1]
+        assert len(x) == r.n and r.rank_error <= r.rank_bound and off(x.to_numpy(), r.value, r.p) <= r.rank_error
     assert len(got) == 4 * sum(len(g[m].dropna()[lambda x: x != -1]) > 0 for _, g in calls.groupby(["agent_name", "model"]) for m in ("latency_ms", "total_tokens"))
 
 
