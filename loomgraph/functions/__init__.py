@@ -1 +1 @@
-
+"""Column functions: Spark expressions only."""

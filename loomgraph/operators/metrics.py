@@ -25,10 +25,10 @@ def agent_performance(executions: DataFrame) -> DataFrame:
     ok = F.count_if(F.col("status") == "SUCCESS")
     return executions.groupBy("agent_name").agg(
         F.count("*").alias("executions"),
-        F.round(F.avg("latency_ms"), 4).alias("avg_latency"),
+        F.avg("latency_ms").alias("avg_latency"),
         F.max("latency_ms").alias("max_latency"),
         F.min("latency_ms").alias("min_latency"),
-        F.round(F.avg(tokens), 4).alias("avg_tokens"),
+        F.avg(tokens).alias("avg_tokens"),
         ok.alias("successes"),
         F.count_if(F.col("status") == "FAILED").alias("failures"),
         F.round(ok * 100.0 / F.count("*"), 2).alias("success_rate"),
@@ -41,7 +41,7 @@ def token_usage(executions: DataFrame) -> DataFrame:
 
 
 def decision_breakdown(executions: DataFrame) -> DataFrame:
-    return executions.filter("decision is not null").groupBy("agent_name", "decision").agg(F.count("*").alias("n"), (F.sum(F.col("confidence").cast("decimal(12,4)")).cast("double") / F.count("confidence")).alias("avg_confidence"))
+    return executions.filter("decision is not null").groupBy("agent_name", "decision").agg(F.count("*").alias("n"), exact_average("confidence").alias("avg_confidence"))
 
 
 def call_usage(calls: DataFrame, *keys: str) -> DataFrame:
@@ -53,18 +53,23 @@ def call_usage(calls: DataFrame, *keys: str) -> DataFrame:
         F.sum("output_tokens").alias("tokens_out"),
         F.sum("total_tokens").alias("tokens"),
         F.sum(F.col("estimated_cost").cast("decimal(18,8)")).cast("double").alias("cost"),
-        F.round(F.avg(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))), 4).alias("avg_latency"),
+        F.avg(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))).alias("avg_latency"),
         failed.alias("failed"),
         F.round(failed * 100.0 / F.count("*"), 2).alias("error_rate"),
     )
 
 
+def exact_average(column: str) -> Column:
+    """Average of decimal fractions: their sum is exact, so that it doesn't depend on the order of rows."""
+    return F.sum(F.col(column).cast("decimal(12,4)")).cast("double") / F.nullif(F.count(column), F.lit(0))
+
+
 SCORES = ("context_relevance_score", "answer_relevance_score", "faithfulness_score", "response_quality_score")
 
 
 def quality_scores(calls: DataFrame) -> DataFrame:
     """Average quality scores of successful calls by agent."""
-    return calls.filter("success").groupBy("agent_name").agg(*(F.round(F.avg(c), 4).alias(c) for c in SCORES))
+    return calls.filter("success").groupBy("agent_name").agg(*(exact_average(c).alias(c) for c in SCORES))
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

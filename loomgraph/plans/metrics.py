@@ -22,8 +22,8 @@ def query(sql: str):
     return add
 
 
-_PERFORMANCE = """agent_name, count(*) AS executions, round(avg(latency_ms), 4) AS avg_latency, max(latency_ms) AS max_latency, min(latency_ms) AS min_latency,
- round(avg(token_usage_input + token_usage_output), 4) AS avg_tokens, count(CASE WHEN status = 'SUCCESS' THEN 1 END) AS successes, count(CASE WHEN status = 'FAILED' THEN 1 END) AS failures,
+_PERFORMANCE = """agent_name, count(*) AS executions, avg(latency_ms) AS avg_latency, max(latency_ms) AS max_latency, min(latency_ms) AS min_latency,
+ avg(token_usage_input + token_usage_output) AS avg_tokens, count(CASE WHEN status = 'SUCCESS' THEN 1 END) AS successes, count(CASE WHEN status = 'FAILED' THEN 1 END) AS failures,
  round(count(CASE WHEN status = 'SUCCESS' THEN 1 END) * 100.0 / count(*), 2) AS success_rate FROM executions"""
 
 
@@ -44,7 +44,7 @@ def token_usage_by_agent(spark, d):
     return m.token_usage(model.executions(spark, d))
 
 
-@query("SELECT agent_name, decision, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(12,4))) AS DOUBLE) / count(confidence) AS avg_confidence FROM executions WHERE decision IS NOT NULL GROUP BY agent_name, decision")
+@query("SELECT agent_name, decision, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(12,4))) AS DOUBLE) / nullif(count(confidence), 0) AS avg_confidence FROM executions WHERE decision IS NOT NULL GROUP BY agent_name, decision")
 def decision_breakdown(spark, d):
     return m.decision_breakdown(model.executions(spark, d))
 
@@ -55,7 +55,7 @@ def executions_by_status(spark, d):
 
 
 _USAGE = """count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS tokens_in, CAST(sum(output_tokens) AS BIGINT) AS tokens_out, CAST(sum(total_tokens) AS BIGINT) AS tokens,
- CAST(sum(CAST(estimated_cost AS DECIMAL(18,8))) AS DOUBLE) AS cost, round(avg(CASE WHEN latency_ms >= 0 THEN latency_ms END), 4) AS avg_latency, count(CASE WHEN NOT success THEN 1 END) AS failed,
+ CAST(sum(CAST(estimated_cost AS DECIMAL(18,8))) AS DOUBLE) AS cost, avg(CASE WHEN latency_ms >= 0 THEN latency_ms END) AS avg_latency, count(CASE WHEN NOT success THEN 1 END) AS failed,
  round(count(CASE WHEN NOT success THEN 1 END) * 100.0 / count(*), 2) AS error_rate FROM calls"""
 
 
@@ -86,8 +86,8 @@ def llm_error_rate_24h(spark, d):
     return m.call_usage(m.since(c, "call_ts", m.last_time(c, "call_ts"), 1))
 
 
-@query("""SELECT agent_name, round(avg(context_relevance_score), 4) AS context_relevance_score, round(avg(answer_relevance_score), 4) AS answer_relevance_score,
- round(avg(faithfulness_score), 4) AS faithfulness_score, round(avg(response_quality_score), 4) AS response_quality_score FROM calls WHERE success GROUP BY agent_name""")
+@query("""SELECT agent_name, CAST(sum(CAST(context_relevance_score AS DECIMAL(12,4))) AS DOUBLE) / nullif(count(context_relevance_score), 0) AS context_relevance_score, CAST(sum(CAST(answer_relevance_score AS DECIMAL(12,4))) AS DOUBLE) / nullif(count(answer_relevance_score), 0) AS answer_relevance_score,
+ CAST(sum(CAST(faithfulness_score AS DECIMAL(12,4))) AS DOUBLE) / nullif(count(faithfulness_score), 0) AS faithfulness_score, CAST(sum(CAST(response_quality_score AS DECIMAL(12,4))) AS DOUBLE) / nullif(count(response_quality_score), 0) AS response_quality_score FROM calls WHERE success GROUP BY agent_name""")
 def quality_by_agent(spark, d):
     return m.quality_scores(model.calls(spark, d))
 
