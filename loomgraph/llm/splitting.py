@@ -91,7 +91,8 @@ def _cut(marked: DataFrame) -> DataFrame:
         i.alias("piece_no"), F.greatest(F.get("_ends", i) - F.col("_overlap"), F.lit(0)).alias("start_token"), F.get("_ends", i + 1).alias("end_token")
     )
     pieces = F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), piece)
-    return marked.withColumn("_ends", ends).select("*", F.inline(pieces))
+    # outer: else a filter for empty arrays is put before, which does all of this again (there is one piece at least)
+    return marked.withColumn("_ends", ends).select("*", F.inline_outer(pieces))
 
 
 def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int]], folder: str = TOKENIZERS) -> DataFrame:

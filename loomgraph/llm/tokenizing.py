@@ -26,8 +26,8 @@ from loomgraph.sources.tables import table
 
 #: Folder of the public tokenizers' files, see its README; nothing of it is copied.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
-#: The memo has the foldings of so many words at most, whatever the corpus (about 10 MB).
-MEMO = 1 << 16
+#: The memo has the foldings of so many words at most, whatever the corpus (some 30 MB).
+MEMO = 1 << 18
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Fixed value: the pattern by which the byte-level vocabularies cut texts, with white space spelled out.
@@ -82,24 +82,25 @@ class Encoder:
         """Token ids of a word's bytes (array<int>), by ranked merges."""
         rank = lambda piece: self._rank(ranks, piece)
         size = F.octet_length(word)
-        none = F.array().cast("array<int>")
+        rest = F.lit(1 << 30)
+        # r holds the rank of each pair of neighbours, and null before the first and after the last piece: the pairs that a
+        # union leaves at an edge come out null by themselves, as there is no piece to unite with
         pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
+        pairs = F.transform(F.sequence(F.lit(0), size), lambda i: F.when((i > 0) & (i < size), rank(F.substring(word, i, F.lit(2)))))
         start = F.struct(pieces.alias("p"), pairs.alias("r"))
-        rest = F.lit(1 << 30)
 
         def merged(s: Column, i: Column, union: Column) -> Column:
-            # i: place of the pair from 1. Pieces i and i + 1 become one; the pairs to its left and right are new
-            before = F.when(i > 1, F.array(rank(F.concat(F.get(s["p"], i - 2), union)))).otherwise(none)
-            after = F.when(i < F.size(s["r"]), F.array(rank(F.concat(union, F.get(s["p"], i + 1))))).otherwise(none)
+            # i: place from 1 in r of the pair, that is of its second piece in p
+            around = F.transform(F.array(F.concat(F.get(s["p"], i - 3), union), F.concat(union, F.get(s["p"], i))), rank)
             return F.struct(
-                F.concat(F.slice(s["p"], F.lit(1), i - 1), F.array(union), F.slice(s["p"], i + 2, rest)).alias("p"),
-                F.concat(F.slice(s["r"], F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(s["r"], i + 2, rest)).alias("r"),
+                F.concat(F.slice(s["p"], F.lit(1), i - 2), F.array(union), F.slice(s["p"], i + 1, rest)).alias("p"),
+                F.concat(F.slice(s["r"], F.lit(1), i - 2), around, F.slice(s["r"], i + 2, rest)).alias("r"),
             )
 
         def step(s: Column, _: Column) -> Column:
             at = F.array_position(s["r"], F.array_min(s["r"])).cast("int")  # null if there is nothing to unite
-            once = F.transform(F.array(at), lambda i: F.when(i.isNull(), s).otherwise(merged(s, i, F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)))))
+            unite = lambda i: F.transform(F.array(F.concat(F.get(s["p"], i - 2), F.get(s["p"], i - 1))), lambda union: merged(s, i, union))
+            once = F.transform(F.array(at), lambda i: F.when(i.isNull(), s).otherwise(F.get(unite(i), F.lit(0))))
             return F.get(once, F.lit(0))
 
         folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], rank))
@@ -114,16 +115,16 @@ class Encoder:
     def remember(self, texts: DataFrame, column: str, limit: int = MEMO) -> Encoder:
         """Folds the most frequent words of ``texts`` that are no tokens, once each."""
         hard = self._with_literals(texts, [], "words", lambda ranks, _: F.filter(self.words(F.col(column), once=True), lambda w: self._rank(ranks, w).isNull()))
-        counted = hard.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        # outer: else a filter for empty arrays is put before, which finds the words a second time
+        counted = hard.select(F.explode_outer("words").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n"))
         frequent = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word").repartition("word")
         n = _buckets(limit) // 2
         folded = self._with_literals(frequent, ["word"], "ids", lambda ranks, _: self._fold(ranks, F.col("word")))
         held = folded.select((F.crc32("word") % n).cast("int").alias("at"), F.struct("word", "ids").alias("entry"))
-        maps = held.groupBy("at").agg(F.map_from_entries(F.collect_list("entry")).alias("m"))
-        # an array by place, so that a lookup needs no search; empty places are null
-        places = self.spark.range(n).select(F.col("id").cast("int").alias("at"), F.lit(None).cast("map<binary,array<int>>").alias("m"))
-        whole = maps.unionByName(places).groupBy("at").agg(F.first("m", ignorenulls=True).alias("m"))
-        row = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m")), lambda a, b: a["at"] - b["at"]), lambda x: x["m"]).alias("memo"))
+        # an array by place, so that a lookup needs no search; most places have a few words, some none
+        places = self.spark.range(n).select(F.col("id").cast("int").alias("at"), F.lit(None).cast(held.schema["entry"].dataType).alias("entry"))
+        entries = held.unionByName(places).groupBy("at").agg(F.sort_array(F.collect_list("entry")).alias("m"))
+        row = entries.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: F.map_from_entries(x["m"])).alias("memo"))
         self.memo = (checkpointed(row).scalar(), n)
         return self
 

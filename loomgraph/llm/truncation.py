@@ -80,13 +80,14 @@ def trigram_counts(values: DataFrame) -> DataFrame:
     w3 keeps the last part of an identifier, w1 and w2 only its shape.
     """
     lines = values.select("kind", _lines(_abstract(F.col("text"))).alias("lines"))
-    lines = lines.select("kind", (F.size("lines") - 1).alias("last"), F.posexplode("lines").alias("at", "line"))
+    # outer: else a filter for empty arrays is put before, which makes the array a second time
+    lines = lines.select("kind", (F.size("lines") - 1).alias("last"), F.posexplode_outer("lines").alias("at", "line")).filter("line is not null")
     words = lines.select("kind", _head(F.col("line")).alias("head"), (F.col("at") == F.col("last")).alias("final"), _tokens(F.col("line")).alias("t"))
-    n = F.size("t")
+    n = F.greatest(F.size("t"), F.lit(2))
     grams = words.select(
         "kind", "head", "final", n.alias("n"),
-        F.posexplode(F.arrays_zip(F.slice("t", 1, n - 2).alias("a"), F.slice("t", 2, n - 2).alias("b"), F.slice("t", 3, n - 2).alias("c"))).alias("at", "g"),
-    ).filter("n > 2")
+        F.posexplode_outer(F.arrays_zip(F.slice("t", 1, n - 2).alias("a"), F.slice("t", 2, n - 2).alias("b"), F.slice("t", 3, n - 2).alias("c"))).alias("at", "g"),
+    ).filter("g is not null")
     end = F.col("at") == F.col("n") - 3
     return (
         grams.select("kind", "head", _plain(F.col("g.a")).alias("w1"), _plain(F.col("g.b")).alias("w2"), F.col("g.c").alias("w3"), end.alias("end"), "final")
