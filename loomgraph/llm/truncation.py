@@ -36,11 +36,11 @@ MIN_WORD = 3
 RARE = 0.02
 
 _STOPS = (".", "?", "!", "。", "？", "！", "।", "؟")
-_PART = ""  # between an identifier's shape and its last part
+_PART = "\ue000"  # between an identifier's shape and its last part
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-_WIDE = rf"[\p{{L}}\p{{M}}\p{{N}}_$&&[^{_CJK}]]"
+_WIDE = rf"[\p{{L}}\p{{M}}\p{{N}}_$\x{{e000}}&&[^{_CJK}]]"
 #: words (those in plain letters first, which is faster), single characters of scripts without blanks, and signs
-_TOKEN = rf"[A-Za-z0-9_$]++{_WIDE}*+|{_WIDE}++|[^\s\p{{M}}]"
+_TOKEN = rf"[A-Za-z0-9_$\x{{e000}}]++{_WIDE}*+|{_WIDE}++|[^\s\p{{M}}]"
 _MARK = (
     r"(?i)(?:…|\.\.\.|[\[(<{](?:…|\.\.\.)[\])>}]"
     r"|[\[(<{][^\])>}\n]{0,40}\b(?:truncated|clipped|cut|cut off|omitted|snip|snipped|abbreviated|shortened|chars?|characters|bytes|more lines|more tokens)\b[^\])>}\n]{0,40}[\])>}])\s*\z"
@@ -52,7 +52,7 @@ _CLOSED = r"""\"{3}[\s\S]*?\"{3}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?:\\.|[^'
 def _abstract(text: Column) -> Column:
     # possessive quantifiers throughout: a word that is no identifier is given up at once
     text = F.regexp_replace(text, r"\b[A-Z][a-z0-9_$]++(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b", f"Xx{_PART}$1")
-    text = F.regexp_replace(text, r"\b[a-z][a-z0-9_$]*+(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b(?!)", f"xX{_PART}$1")
+    text = F.regexp_replace(text, r"\b[a-z][a-z0-9_$]*+(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b(?!\x{e000})", f"xX{_PART}$1")
     return F.regexp_replace(text, r"\b[A-Za-z_$]*+\d[\w$]*+", "0")
 
 

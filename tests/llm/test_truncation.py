@@ -35,3 +35,12 @@ def test_rates_and_empty_tables(spark):
     rates = {r.agent_name: (r.n_values, r.n_truncated) for r in truncation_rates(rows, truncated_values(rows)).collect()}
     assert rates == {"agent0": (30, 0), "agent1": (30, 0), None: (1, 1)}
     assert truncated_values(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_abstraction(spark):
+    from loomgraph.llm import truncation as t
+    from pyspark.sql import functions as F
+
+    text = "In SessionLeaseExecutor the loadBatch2 call, aafd6a39 of 12345 naïve 日本 (QuotaStore.java:5)"
+    row = spark.createDataFrame([(text,)], "text string").select(t._tokens(t._abstract(F.col("text"))).alias("t")).first()
+    assert row.t == ["^", "^", "In", "XxExecutor", "the", "xXBatch", "call", ",", "0", "of", "0", "naïve", "日", "本", "(", "XxStore", ".", "java", ":", "0", ")"]
