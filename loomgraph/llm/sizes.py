@@ -30,7 +30,7 @@ class ByteLevel:
 
     def ends(self, text: str) -> np.ndarray:
         """Offset in bytes after each token."""
-        return np.cumsum(self.lengths[self.encoding.encode_ordinary(text)])
+        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int32)])
 
 
 class Pieces:
@@ -49,7 +49,7 @@ class Pieces:
     def ends(self, text: str) -> np.ndarray:
         """Offset in bytes after each token; the blank put before the text takes no place."""
         whole, ids = len(text.encode()), self.model.encode(text)
-        ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
+        ends = np.cumsum(self.lengths[np.array(ids, np.int32)])
         if len(ends) and ends[-1] != whole + 1:  # the model has changed some characters: ask it where its pieces come from
             ends = np.array([len(text[: p.end].encode()) for p in self.model.encode(text, out_type="immutable_proto").pieces])
             return np.minimum(ends, whole)

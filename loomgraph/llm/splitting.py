@@ -25,24 +25,31 @@ from loomgraph.sources.tables import table
 LEAST = 0.5
 
 
-def boundaries(text: bytes, ends: np.ndarray) -> str:
-    """One character for each token, given the offsets in bytes at which they end."""
-    if not len(ends):
-        return ""
-    b = np.frombuffer(b"\n\n\n" + text + b"\n\n", np.uint8)
-    at = ends.astype(np.int64) + 3  # of the byte after the token
+def boundaries(texts: list[bytes], ends: list[np.ndarray]) -> list[str]:
+    """One character for each token of each text, given the offsets in bytes at which they end; all texts at once."""
+    sizes = [len(e) for e in ends]
+    if not sum(sizes):
+        return ["" for _ in texts]
+    b = np.frombuffer(b"".join(b"\n\n\n" + t + b"\n\n" for t in texts), np.uint8)
+    starts = np.cumsum([0, *(len(t) + 5 for t in texts[:-1])]) + 3
+    at = np.concatenate(ends).astype(np.int64) + np.repeat(starts, sizes)  # of the byte after the token
     one, two, three, nxt = b[at - 1], b[at - 2], b[at - 3], b[at]
-    marks = np.full(len(ends), ord("x"), np.uint8)
-    blank = lambda x: (x == 32) | ((x >= 9) & (x <= 13))
-    cjk = lambda last: (three == 0xE3) & (two == 0x80) & np.isin(one, last)
-    wide = (three == 0xEF) & (two == 0xBC)
-    marks[blank(nxt) | blank(one)] = ord("W")
-    marks[(np.isin(one, [44, 58, 59]) & blank(nxt)) | cjk([0x81]) | (wide & np.isin(one, [0x8C, 0x9A, 0x9B]))] = ord("C")
-    marks[(np.isin(one, [33, 46, 63]) & blank(nxt)) | cjk([0x82]) | (wide & np.isin(one, [0x81, 0x9F]))] = ord("S")
-    marks[(one == 10) | ((nxt == 10) & (one != 10))] = ord("L")
+    kind = np.zeros(256, np.uint8)  # of single bytes: 1 blank, 2 ends a clause, 3 ends a sentence
+    kind[[9, 10, 11, 12, 13, 32]], kind[[44, 58, 59]], kind[[33, 46, 63]] = 1, 2, 3
+    before, after_blank = kind[one], kind[nxt] == 1
+    marks = np.full(len(at), ord("x"), np.uint8)
+    marks[after_blank | (before == 1)] = ord("W")
+    marks[(before == 2) & after_blank] = ord("C")
+    marks[(before == 3) & after_blank] = ord("S")
+    cjk, wide = (three == 0xE3) & (two == 0x80), (three == 0xEF) & (two == 0xBC)
+    if cjk.any() or wide.any():  # ideographic and full-width stops and commas
+        marks[(cjk & (one == 0x81)) | (wide & ((one == 0x8C) | (one == 0x9A) | (one == 0x9B)))] = ord("C")
+        marks[(cjk & (one == 0x82)) | (wide & ((one == 0x81) | (one == 0x9F)))] = ord("S")
+    marks[(one == 10) | (nxt == 10)] = ord("L")
     marks[(one == 10) & (two == 10)] = ord("P")
     marks[(nxt & 0xC0) == 0x80] = ord("-")
-    return marks.tobytes().decode()
+    whole, cuts = marks.tobytes().decode(), np.cumsum([0, *sizes])
+    return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 def pattern(limit: int, overlap: int) -> str:
@@ -58,26 +65,31 @@ def pattern(limit: int, overlap: int) -> str:
     return f"\\A(?:{up_to(limit)})|(?:{up_to(limit - overlap)})"
 
 
-def marked_documents(documents: DataFrame, names: list[str], least: int, folder: str = TOKENIZERS) -> DataFrame:
-    """doc_id, text, tokenizer, marks and ends (array<int>, in bytes), for documents of more than ``least`` tokens.
+def marked_documents(documents: DataFrame, least: dict[str, int], folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id, text, tokenizer, marks and ends (array<int>, in bytes), for documents of more tokens than ``least`` of a tokenizer.
 
     A token has a byte at least (one may stand for a blank put before the text), so shorter texts aren't encoded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode()
-                for name in names:
-                    ends = tokenizer(folder, name).ends(text)
-                    if len(ends) > least:
-                        out.append((doc, text, name, boundaries(raw, ends), ends.astype(np.int32)))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text", "tokenizer", "marks", "ends"])
-
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.octet_length("text") >= least)
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            raw = [t.encode() for t in texts]
+            for name, n in least.items():
+                ends = [tokenizer(folder, name).ends(t) if len(r) >= n else () for t, r in zip(texts, raw)]
+                kept = [i for i, e in enumerate(ends) if len(e) > n]
+                marks = boundaries([raw[i] for i in kept], [ends[i] for i in kept])
+                offsets = np.cumsum([0, *(len(m) for m in marks)]).astype(np.int32)
+                flat = np.concatenate([ends[i] for i in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([docs[i] for i in kept], pa.int64()), pa.array([texts[i] for i in kept], pa.string()), pa.array([name] * len(kept), pa.string()),
+                        pa.array(marks, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    ],
+                    names=["doc_id", "text", "tokenizer", "marks", "ends"],
+                )
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.octet_length("text") >= min(least.values()))
     return texts.mapInArrow(run, "doc_id bigint, text string, tokenizer string, marks string, ends array<int>")
 
 
@@ -103,10 +115,12 @@ def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int
     (where that has so many). ``text`` is what these tokens stand for; should an overlap start within a character, it begins with
     the next whole one. Null, empty and shorter documents give nothing; other columns are ignored.
     """
-    names = sorted({b[1] for b in budgets})
     if not budgets:
         return documents.sparkSession.createDataFrame([], "budget_id int, doc_id bigint, piece_no int, start_token int, end_token int, n_tokens int, text string")
-    marked = marked_documents(documents, names, min(b[2] for b in budgets), folder)
+    least: dict[str, int] = {}
+    for _, name, capacity, _ in budgets:
+        least[name] = min(capacity, least.get(name, capacity))
+    marked = marked_documents(documents, least, folder)
     of_budget = F.array(*(F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(n).alias("name"), F.lit(c).alias("capacity")) for b, n, c, _ in budgets))
     each = marked.withColumn("b", F.explode(F.filter(of_budget, lambda b: (b["name"] == F.col("tokenizer")) & (F.length("marks") > b["capacity"]))))
     found, overlap = F.lit(None), F.lit(None)
