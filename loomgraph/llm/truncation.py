@@ -10,7 +10,7 @@ How it is found, all in Spark SQL expressions:
 3. A last word that is never seen inside, but is the beginning of words seen in its place, is cut within the word.
 4. Open structures (code fences, brackets, strings, tables) and marks such as ``[+12 chars]`` show a lost end, too.
 
-Counts cover all rows; the table of counted trigrams grows with the vocabulary, not with the rows, and is never
+Counts cover all rows, the ends of repeated rows and of equal long texts once; the table of counted trigrams grows with the vocabulary, not with the rows, and is never
 collected. The final joins run on distinct final trigrams, so that no ending that many texts share makes a hot key.
 """
 
@@ -35,6 +35,9 @@ MIN_WORD = 3
 #: A word is out of place if it stands there in less than this share of what would be expected there.
 RARE = 0.02
 
+#: Equal texts of up to so many characters in different rows are one message, whole as often as it is given: each row counts.
+MESSAGE = 200
+
 _STOPS = (".", "?", "!", "。", "？", "！", "।", "؟")
 _PART = "\ue000"  # between an identifier's shape and its last part
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -75,7 +78,7 @@ def _lines(text: Column) -> Column:
 
 
 def trigram_counts(values: DataFrame) -> DataFrame:
-    """(kind, head, w1, w2, w3) of all trigrams of ``values`` (kind, text), with inner, at_line_end and at_end counts.
+    """(kind, head, w1, w2, w3) of all trigrams of ``values`` (kind, text) but those at their ends, with inner and at_line_end counts.
 
     w3 keeps the last part of an identifier, w1 and w2 only its shape.
     """
@@ -91,15 +94,21 @@ def trigram_counts(values: DataFrame) -> DataFrame:
     end = F.col("at") == F.col("n") - 3
     return (
         grams.select("kind", "head", _plain(F.col("g.a")).alias("w1"), _plain(F.col("g.b")).alias("w2"), F.col("g.c").alias("w3"), end.alias("end"), "final")
+        .filter("not (end and final)")
         .groupBy("kind", "head", "w1", "w2", "w3")
-        .agg(
-            F.count_if(~F.col("end")).alias("inner"),
-            F.count_if(F.col("end") & ~F.col("final")).alias("at_line_end"),
-            F.count_if(F.col("end") & F.col("final")).alias("at_end"),
-        )
+        .agg(F.count_if(~F.col("end")).alias("inner"), F.count_if(F.col("end")).alias("at_line_end"))
     )
 
 
+def end_counts(ends: DataFrame) -> DataFrame:
+    """(kind, head, w1, w2, w3) of the final trigrams of ``ends`` (also: whose, a hash), with at_end counts.
+
+    Each ``whose`` counts once, so that the own share of any value in its ending is exactly 1.
+    """
+    keys = ["kind", "head", "w1", "w2", "w3"]
+    return ends.filter("w1 is not null").select(*keys, "whose").distinct().groupBy(*keys).agg(F.count("*").alias("at_end"))
+
+
 #: what is left of a text to see whether something is open: brackets, and quotes that no other one closes on the line
 _BRACKETS = ("{}", "()", "[]", "«»", "「」", "（）", "『』", "【】")
 
@@ -186,18 +195,22 @@ def truncated_values(values: DataFrame) -> DataFrame:
     rows = values.select("table_name", "id", "field_name", F.col("field_name").alias("kind"), "text").filter(F.btrim("text", F.lit(" \t\r\n")) != "")
     counts = checkpointed(trigram_counts(rows))
     t = F.col("t")
+    # copies of a row, and rows with the same long text, are one case; a short message that many rows share is as many
+    body = F.rtrim(F.col("text"), F.lit(" \t\r\n"))
+    whose = F.when(F.length(body) > MESSAGE, F.xxhash64("field_name", body)).otherwise(F.xxhash64("table_name", "id", "field_name"))
     ends = (
         open_structure(rows)
         .withColumn("shown", F.col("open") | F.right(F.rtrim(F.col("text"), F.lit(" \t\r\n")), F.lit(120)).rlike(_MARK))
         .withColumn("line", _abstract(F.substring_index(F.rtrim("text", F.lit(" \t\r\n")), "\n", -1)))
-        .select("table_name", "id", "field_name", "kind", "shown", _head(F.col("line")).alias("head"), _tokens(F.col("line")).alias("t"))
+        .select("table_name", "id", "field_name", "kind", "shown", whose.alias("whose"), _head(F.col("line")).alias("head"), _tokens(F.col("line")).alias("t"))
         .select(
-            "table_name", "id", "field_name", "kind", "head", "shown",
+            "table_name", "id", "field_name", "kind", "head", "shown", "whose",
             _plain(F.try_element_at(t, F.lit(-3))).alias("w1"), _plain(F.try_element_at(t, F.lit(-2))).alias("w2"), F.try_element_at(t, F.lit(-1)).alias("w3"),
         )
     )
     ends = checkpointed(ends).filter("shown or w1 is not null")
     keys = ["kind", "head", "w1", "w2", "w3"]
+    counts = counts.withColumn("at_end", F.lit(0).cast("bigint")).unionByName(checkpointed(end_counts(ends)), allowMissingColumns=True).fillna(0, ["inner", "at_line_end"])
     lost = _verdicts(ends.filter("not shown").select(keys).distinct(), counts)
     shown = ends.filter("shown").select("table_name", "id", "field_name")
     told = ends.filter("not shown").join(lost, keys, "left_semi").select("table_name", "id", "field_name")

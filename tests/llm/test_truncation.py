@@ -44,3 +44,15 @@ def test_abstraction(spark):
     text = "In SessionLeaseExecutor the loadBatch2 call, aafd6a39 of 12345 naïve 日本 (QuotaStore.java:5)"
     row = spark.createDataFrame([(text,)], "text string").select(t._tokens(t._abstract(F.col("text"))).alias("t")).first()
     assert row.t == ["^", "^", "In", "XxExecutor", "the", "xXBatch", "call", ",", "0", "of", "0", "naïve", "日", "本", "(", "XxStore", ".", "java", ":", "0", ")"]
+
+
+def test_repeated_rows_and_long_copies_are_no_evidence_for_their_own_ends(spark):
+    row = lambda i, text: ("llm_call_metrics", i, "response", "agent0", text, 0)
+    rows, once, part = corpus(600), "Every call locks the row. The planner treats the", "Every call locks the row with a delay of 7 seconds betw"
+    assert found(spark, rows + [row(3001, once), row(3002, part)]) == {3001, 3002}
+    assert found(spark, rows + [row(3001, once), row(3002, part)] * 300) == {3001, 3002}
+    # one long text, cut, in a third of all rows with ids of their own
+    long_ = "Every call locks the row and stays private until the next run. " * 4 + "The planner treats the"
+    assert found(spark, rows + [row(i, long_) for i in range(4000, 4300)]) == set(range(4000, 4300))
+    # a short message that many rows share is whole
+    assert not found(spark, rows + [row(i, "The planner treats the batch as final") for i in range(5000, 5300)])
