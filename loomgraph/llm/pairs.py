@@ -61,6 +61,9 @@ _REFUSALS = re.compile(
 _CUES = ("cannot", "can't", "can’t", "can not", "won't", "won’t", "will not", "able", "declin", "refus", "rather not", "allowed", "permitted", "authori", "may not", "do not", "don't", "don’t", "unfortunately", "sorry", "regret", "possible", "denied", "rejected",
          "kann", "darf", "möchte", "werde", "können", "dürfen", "désolé", "regrette", "ne p", "ne suis", "lo siento", "no pued", "no pod", "no me es", "não", "lamento", "desculp", "sinto muito", "non p", "non mi", "non sono",
          "mi dispiace", "spiacente", "не ", "извините", "к сожалению", "お", "ご", "対応", "回答", "協力", "抱歉", "对不起", "无法", "不能")
+_SKIPPED = r"</?[A-Za-z][^<>]*+>|```\w*+|[^\w←-⏿☀-➿\U0001f000-\U0001ffff]|[_ㅤᅟᅠ]"
+#: a text with so few characters of content, wherever they stand, that it may be a word for nothing
+_FEW = re.compile(rf"(?:{_SKIPPED})*+(?:[\w←-⏿☀-➿\U0001f000-\U0001ffff](?:{_SKIPPED})*+){{0,9}}+\Z")
 _NOTHING = {"null", "none", "nil", "na", "undefined", "nan", "nul"}
 _LABEL = re.compile(r"^\W*(?:question|prompt|q|user|input|request|frage|pregunta|pergunta|domanda|вопрос|質問|问题|task|query|instruction)\s*[:：\-]\s*", re.IGNORECASE)
 
@@ -137,40 +140,55 @@ def is_empty(response: str | None) -> bool:
     """No content: white space, invisible characters, punctuation, empty markup or brackets, or a word for null."""
     if not response:
         return True
-    if len(response) > 200:
+    if not _FEW.match(response):
         return False
     text = re.sub(r"</?[A-Za-z][^<>]*>|```\w*", " ", response)
     words = re.sub(r"[^\w←-⏿☀-➿\U0001f000-\U0001ffff]|[_ㅤᅟᅠ]", "", text)
     return not words or (words.lower() in _NOTHING and len(text.split()) <= 1)
 
 
-def is_refusal(response: str) -> bool:
-    """The response declines, and nothing in it but the declining sentence names anything of the code."""
-    if len(response) > 700 or "```" in response:
+def _unfenced(text: str, prompt: str) -> str | None:
+    """The text without code fences that are empty or repeat lines of the prompt; None if one has code of its own."""
+    if "```" not in text:
+        return text
+    asked = {x.strip() for x in prompt.splitlines()}
+    for fence in _FENCE.findall(text):
+        if any(x.strip() and x.strip() not in asked for x in fence.strip("`").splitlines()[1:]):
+            return None
+    return _FENCE.sub("\n", text)
+
+
+def is_refusal(response: str, prompt: str = "") -> bool:
+    """The response declines, and nothing in it but the declining sentences names anything of the code."""
+    text = _unfenced(response, prompt)
+    if text is None:
         return False
-    low = response.lower()
+    low = text.lower()
     if not any(cue in low for cue in _CUES):
         return False
-    # each sentence that names something of the code is an answer, unless it is the declining one itself: there is one at most of these
-    text = _QUOTED.sub(" “” ", response)
-    if len(re.findall(r"[a-z0-9][A-Z]|\d", text)) > 12 or not _REFUSALS.search(text):
-        return False
-    declines = 0
-    for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", text):
-        if _REFUSALS.search(sentence):
-            declines += "“”" not in sentence
-        elif len(sentence.split()) > 18 or re.search(r"[a-z0-9][A-Z]|\d|“”", sentence):
-            return False
-    return declines > 0
+    plain = []
+    for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" “” ", text)):
+        if len(sentence.split()) > 18 or re.search(r"[a-z0-9][A-Z]|\d|“”", sentence):
+            # a sentence that names something of the code is an answer, unless it is a declining one itself
+            if not _REFUSALS.search(sentence):
+                return False
+        plain.append(sentence)
+    return any("“”" not in x and _REFUSALS.search(x) for x in plain)
 
 
 def is_copy(prompt: str, response: str) -> bool:
     """Nearly every word of the response, which has no code of its own, stands in the prompt beside the same neighbour."""
-    if not prompt or len(response) > 1.3 * len(prompt) + 60:
+    if not prompt:
         return False
     said = response
     for _ in range(2):
         said = _LABEL.sub("", said)
+    # an exact repetition is one at any length; most differ in the first word
+    first, other = _TOKENS.search(said), _TOKENS.search(prompt)
+    if first and other and first[0].lower() == other[0].lower() and [w.lower() for w in _TOKENS.findall(said)] == [w.lower() for w in _TOKENS.findall(prompt)]:
+        return True
+    if len(response) > 1.3 * len(prompt) + 60:
+        return False
     words = [w.lower() for w in _TOKENS.findall(said)]
     if len(words) < 5:
         return False
@@ -211,7 +229,7 @@ def pair_defects(calls: DataFrame, model: np.ndarray) -> DataFrame:
                         ids.append(i)
                         defects.append("empty")
                     continue
-                if is_refusal(response):
+                if is_refusal(response, prompt):
                     ids.append(i)
                     defects.append("refusal")
                 elif is_copy(prompt, response):

@@ -64,3 +64,16 @@ def test_defects_of_rows(spark, data):
     calls = spark.createDataFrame(rows, "id bigint, prompt string, response string, success boolean, defect int")
     assert sorted((r.id or 0, r.defect) for r in p.pair_defects(calls, model).distinct().collect()) == [(0, "empty"), (1, "empty"), (5, "language"), (8, "refusal")]
     assert p.pair_defects(spark.createDataFrame([], calls.schema), model).count() == 0
+
+
+def test_no_defect_ends_at_a_length():
+    for text in (" " * 500, "\u200b" * 300, "<p></p>" * 60, " " * 300 + "null", "```\n\n```\n" * 40):
+        assert p.is_empty(text), text
+    assert not p.is_empty(" " * 300 + "0") and not p.is_empty("<p></p>" * 60 + "no answer is null")
+    no = "I cannot help with this request. "
+    for text in (no + "Thank you for your patience and understanding. " * 30, "I cannot help with request 123e4567-e89b-12d3-a456-426614174000 of 2025-01-01 12:30:00.", no + "\n```\n```"):
+        assert p.is_refusal(text), text
+    assert p.is_refusal(no + "\n```java\nint a = 1;\n```", "Review this:\nint a = 1;")
+    assert not p.is_refusal(no + "\n```java\nint a = 1;\n```") and not p.is_refusal("The limit of 20 rows applies. " * 40 + no)
+    assert p.is_copy("Why does it fail?", "why does it FAIL ?") and p.is_copy("Why?", "> Why?" + " " * 200)
+    assert not p.is_copy("Why?", "Why not?") and not p.is_copy("Yes or no?", "Yes")
