@@ -7,6 +7,7 @@ end-of-text trigram statistics cover all responses. Empty, refusing and copying
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from loomgraph.llm.truncation import truncated_values
+from loomgraph.session import checkpointed
 from loomgraph.sources.tables import table
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "pt", "ru")
@@ -57,10 +59,40 @@ _REFUSALS = re.compile(
     r"|(?:抱歉|对不起|无法|不能)[^。！？\n]{0,20}(?:帮助|回答|协助|提供|处理)",
     re.IGNORECASE,
 )
+# Refusals by permission, remit, topic or instruction, and announcements of no answer.
+_WIDER = re.compile(
+    rf"\bno (?:permission|authori[sz]ation|clearance|mandate) to\b[^.!?\n]{{0,20}}?\b{_HELP}"
+    r"|\b(?:guidelines|instructions|rules|polic(?:y|ies)|restrictions)\b[^.!?\n]{0,30}\b(?:not (?:allow|permit|let)|forbid|prohibit|prevent)\w*\b[^.!?\n]{0,15}\b(?:me|us)\b"
+    r"|\b(?:against|contrary to) my (?:instructions|guidelines|rules|polic)|\b(?:outside|beyond|not within)(?: of)? my (?:remit|scope|role|mandate|competence|purview)"
+    r"|\b(?:off limits|out of bounds|closed|not (?:permitted|allowed)|forbidden|prohibited) (?:for|to) (?:me|us)\b|\b(?:I|we)\b[^.!?\n]{0,30}\bleave\b[^.!?\n]{0,15}\bunanswered\b"
+    r"|\bno (?:answer|reply|response) (?:is|will be|can be|may be) (?:given|provided) to (?:this|that|the|your) (?:prompt|question|request)|\bwill be no (?:answer|reply|response) from (?:my|our) side"
+    r"|^\W*no comment on (?:that|this)\b|\bI\b[^.!?\n]{0,50}\bskip this (?:one|question|request)\b|\bask (?:another|a different) (?:assistant|model)\b"
+    r"|\b(?:ich|mir|wir|uns)\b[^.!?\n]{0,40}\b(?:nicht|keine)\b[^.!?\n]{0,30}\b(?:befugt|berechtigt|befugnis|berechtigung|erlaubnis|erlaubt|gestattet)\b"
+    r"|\bje n['’]ai pas (?:le droit|l['’]autorisation|la permission)|\bne m['’]est pas permis|\bje ne suis pas (?:autorisé|habilité)"
+    r"|\bno (?:estoy autorizad|tengo (?:permiso|autorización)|me está permitid|se me permite)|\bnão (?:tenho (?:permissão|autorização)|estou autorizad|me é permitid)"
+    r"|\bnon (?:mi è (?:permesso|consentito)|ho il permesso|sono autorizzat)|\bмне (?:не разрешено|не позволено|запрещено)|\bне имею права|\bу меня нет (?:права|разрешения)"
+    r"|(?:許可|権限)[^。！？\n]{0,10}(?:おりません|いません|ありません|ございません)|回答(?:は|を)?(?:差し)?控え|お受けでき(?:ません|かねます)",
+    re.IGNORECASE,
+)
+# One of these stands in every text that _WIDER finds, in lower case.
+_WIDER_CUES = ("no permission", "no authori", "no clearance", "no mandate", "not allow", "not permit", "not let", "forbid", "prohibit", "prevent", "against my", "contrary to my", "my remit", "my scope", "my role", "my mandate", "my competence", "my purview",
+               "off limits", "out of bounds", "closed ", "unanswered", "no answer", "no reply", "no response", "no comment", "skip this", "ask another", "ask a different", "befug", "berechtig", "erlaub", "gestattet", "ai pas l", "est pas permis", "suis pas",
+               "no estoy", "no tengo", "no me est", "no se me", "não ", "non mi è", "non ho il", "non sono", "мне ", "не имею", "у меня нет", "許可", "権限", "控え", "お受けでき")
+# Words by which a sentence may be a refusal, if it also answers many prompts and has nothing of theirs.
+_HINTS = re.compile(
+    r"permi[ts]|allow|autori[szt]|authori|guideline|instruction|polic(?:y|ies)|safety|\bremit\b|off limits|\btopic|unanswered|no (?:answer|comment|reply)|declin|refus|\bskip|sorry|afraid|apolog|regret|forbid|prohibit"
+    r"|erlaub|gestatt|befug|richtlinie|\bthema|zuständig|leider|bedaur|consigne|\bsujet|désolé|lo siento|lament|\btema\b|desculp|consentit|argomento|dispiace|spiacent|разреш|запрещ|не имею|\bтем[аеуы]\b|извин|сожалени"
+    r"|許可|権限|控え|申し訳|対象外|恐れ入り"
+)
+#: A sentence with a hint is a refusal if it answers so many different prompts with which it shares no word of content.
+MIN_PROMPTS = 3
+
 # One of these stands in every text that _REFUSALS finds, in lower case.
 _CUES = ("cannot", "can't", "can’t", "can not", "won't", "won’t", "will not", "able", "declin", "refus", "rather not", "allowed", "permitted", "authori", "may not", "do not", "don't", "don’t", "unfortunately", "sorry", "regret", "possible", "denied", "rejected",
          "kann", "darf", "möchte", "werde", "können", "dürfen", "désolé", "regrette", "ne p", "ne suis", "lo siento", "no pued", "no pod", "no me es", "não", "lamento", "desculp", "sinto muito", "non p", "non mi", "non sono",
          "mi dispiace", "spiacente", "не ", "извините", "к сожалению", "お", "ご", "対応", "回答", "協力", "抱歉", "对不起", "无法", "不能")
+_SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s*|\n+")
+_NAMES = re.compile(r"[a-z0-9][A-Z]|\d|“”")
 _SKIPPED = r"</?[A-Za-z][^<>]*+>|```\w*+|[^\w←-⏿☀-➿\U0001f000-\U0001ffff]|[_ㅤᅟᅠ]"
 #: a text with so few characters of content, wherever they stand, that it may be a word for nothing
 _FEW = re.compile(rf"(?:{_SKIPPED})*+(?:[\w←-⏿☀-➿\U0001f000-\U0001ffff](?:{_SKIPPED})*+){{0,9}}+\Z")
@@ -158,22 +190,51 @@ def _unfenced(text: str, prompt: str) -> str | None:
     return _FENCE.sub("\n", text)
 
 
-def is_refusal(response: str, prompt: str = "") -> bool:
-    """The response declines, and nothing in it but the declining sentences names anything of the code."""
+def _declines(sentence: str) -> bool:
+    low = sentence.lower()
+    if any(cue in low for cue in _CUES) and _REFUSALS.search(sentence):
+        return True
+    return any(cue in low for cue in _WIDER_CUES) and _WIDER.search(sentence) is not None
+
+
+def _no_answer(response: str, prompt: str) -> list[str]:
+    """The sentences of a response, none if one of them names something of the code and is no declining one itself."""
     text = _unfenced(response, prompt)
     if text is None:
-        return False
-    low = text.lower()
-    if not any(cue in low for cue in _CUES):
-        return False
-    plain = []
-    for sentence in re.split(r"(?<=[.!?。！？])\s*|\n+", _QUOTED.sub(" “” ", text)):
-        if len(sentence.split()) > 18 or re.search(r"[a-z0-9][A-Z]|\d|“”", sentence):
-            # a sentence that names something of the code is an answer, unless it is a declining one itself
-            if not _REFUSALS.search(sentence):
-                return False
-        plain.append(sentence)
-    return any("“”" not in x and _REFUSALS.search(x) for x in plain)
+        return []
+    sentences = _SENTENCE_END.split(_QUOTED.sub(" “” ", text))
+    for sentence in sentences:
+        if (_NAMES.search(sentence) or len(sentence.split()) > 18) and not _declines(sentence):
+            return []
+    return sentences
+
+
+def _any_declines(sentences: list[str]) -> bool:
+    return any("“”" not in x and _declines(x) for x in sentences)
+
+
+def is_refusal(response: str, prompt: str = "") -> bool:
+    """The response declines, and nothing in it but the declining sentences names anything of the code."""
+    return _any_declines(_no_answer(response, prompt))
+
+
+def _words(text: str) -> str:
+    return " ".join(_TOKENS.findall(text)).lower()
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def hinted(sentences: list[str], prompt: str) -> list[tuple[int, int, bool]]:
+    """Those sentences of a response with no answer that may be refusals: hash, hash of the prompt, no word of content shared."""
+    found = []
+    for sentence in sentences:
+        if _HINTS.search(sentence.lower()):
+            words = _words(sentence)
+            content = {w for w in words.split() if len(w) > 4 and not _HINTS.search(w)}
+            found.append((_number(words), _number(_words(prompt)), not content & set(_words(prompt).split())))
+    return found
 
 
 def is_copy(prompt: str, response: str) -> bool:
@@ -215,13 +276,14 @@ def pair_defects(calls: DataFrame, model: np.ndarray) -> DataFrame:
     """(id, defect) of each call: empty, refusal, copy and language; for truncated see ``broken_pairs``.
 
     ``calls``: id, prompt, response, success; other columns are ignored. A failed call whose response is null or blank
-    gives nothing, a null success counts as one. Null prompts are like empty ones. Rows may be repeated.
+    gives nothing, a null success counts as one. Null prompts are like empty ones. Rows may be repeated. Refusals are told by
+    their words, or by weaker words in a sentence that answers at least ``MIN_PROMPTS`` different prompts.
     """
     shared = calls.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, defects, both, at = [], [], [], []
+            ids, defects, both, at, maybe = [], [], [], [], []
             for i, prompt, response, ok in zip(*(c.to_pylist() for c in batch.columns)):
                 prompt = prompt or ""
                 if is_empty(response):
@@ -229,12 +291,15 @@ def pair_defects(calls: DataFrame, model: np.ndarray) -> DataFrame:
                         ids.append(i)
                         defects.append("empty")
                     continue
-                if is_refusal(response, prompt):
+                sentences = _no_answer(response, prompt)
+                if _any_declines(sentences):
                     ids.append(i)
                     defects.append("refusal")
                 elif is_copy(prompt, response):
                     ids.append(i)
                     defects.append("copy")
+                else:
+                    maybe += [(i, *x) for x in hinted(sentences, prompt)]
                 a, b = prose(prompt), prose(response)
                 if len(a) >= MIN_LETTERS // 2 and len(b) >= MIN_LETTERS // 2:
                     both += [a, b]
@@ -244,10 +309,16 @@ def pair_defects(calls: DataFrame, model: np.ndarray) -> DataFrame:
                 if a >= 0 and b >= 0 and a != b and not _ASKED[LANGUAGES[b]].search(prompt):
                     ids.append(i)
                     defects.append("language")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(defects, pa.string())], names=["id", "defect"])
-
-    rows = calls.select(F.col("id").cast("bigint").alias("id"), "prompt", "response", "success")
-    return rows.filter("success is not false or trim(response) <> ''").mapInArrow(run, "id bigint, defect string")
+            none = [None] * len(ids)
+            a, b, c, e = map(list, zip(*maybe)) if maybe else ([], [], [], [])
+            columns = [pa.array(ids + a, pa.int64()), pa.array(defects + ["refusal"] * len(a), pa.string()), pa.array(none + b, pa.int64()), pa.array(none + c, pa.int64()), pa.array(none + e, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "defect", "sentence", "asked", "apart"])
+
+    rows = calls.select(F.col("id").cast("bigint").alias("id"), "prompt", "response", "success").filter("success is not false or trim(response) <> ''")
+    told = checkpointed(rows.mapInArrow(run, "id bigint, defect string, sentence bigint, asked bigint, apart boolean"))
+    usual = told.filter("apart").groupBy("sentence").agg(F.countDistinct("asked").alias("prompts")).filter(F.col("prompts") >= MIN_PROMPTS)
+    refused = told.filter("sentence is not null").join(usual, "sentence", "left_semi")
+    return told.filter("sentence is null").select("id", "defect").unionByName(refused.select("id", "defect"))
 
 
 def broken_pairs(calls: DataFrame, documents: DataFrame) -> DataFrame:

@@ -77,3 +77,24 @@ def test_no_defect_ends_at_a_length():
     assert not p.is_refusal(no + "\n```java\nint a = 1;\n```") and not p.is_refusal("The limit of 20 rows applies. " * 40 + no)
     assert p.is_copy("Why does it fail?", "why does it FAIL ?") and p.is_copy("Why?", "> Why?" + " " * 200)
     assert not p.is_copy("Why?", "Why not?") and not p.is_copy("Yes or no?", "Yes")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I only deal with general questions and therefore skip this one.", "Please ask another assistant; requests like this one are closed to me.", "Answering this is not permitted for me.",
+     "Apologies, this topic is off limits for me.", "That is something I have to leave unanswered.", "This request goes against my instructions, so there will be no answer from my side.",
+     "For safety reasons no answer is given to this prompt.", "No comment on that, I'm afraid.", "Questions about private repositories are outside of my remit.",
+     "As a language model I have no permission to review material of this kind.", "My guidelines do not allow me to complete this task.", "Não tenho permissão para responder a este pedido.",
+     "Мне не разрешено отвечать на этот запрос.", "Non mi è permesso rispondere a questa richiesta.", "Dazu bin ich nicht befugt. Mir ist eine Antwort nicht gestattet.", "No tengo permiso para responder."],
+)
+def test_refusal_by_permission_or_remit(text):
+    assert p.is_refusal(text)
+
+
+def test_refusal_by_what_many_prompts_get(spark, data):
+    model = p.fit_languages(table(spark, data("sf0.01"), "documents"))
+    ask = ["Why does it fail?", "Name the callers.", "Describe the nightly batch.", "Is the policy loaded?"]
+    said = ["Sorry, that stays with the owner.", "The policy is loaded at the start."]
+    rows = [(i, q, said[0], True) for i, q in enumerate(ask)] + [(10 + i, q, said[1], True) for i, q in enumerate(ask[:2])] + [(20, ask[0], "Sorry, nobody knows.", True)] * 5
+    calls = spark.createDataFrame(rows, "id bigint, prompt string, response string, success boolean")
+    assert sorted({(r.id, r.defect) for r in p.pair_defects(calls, model).collect()}) == [(i, "refusal") for i in range(4)]
