@@ -9,7 +9,7 @@ lookback: a piece starts ``overlap`` tokens before the end of the one before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,18 +93,48 @@ def marked_documents(documents: DataFrame, least: dict[str, int], folder: str =
     return texts.mapInArrow(run, "doc_id bigint, text string, tokenizer string, marks string, ends array<int>")
 
 
-def _cut(marked: DataFrame) -> DataFrame:
-    """Adds piece_no, start_token and end_token: one row for each piece of the marks.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The pieces found and their ends are columns of their own: within one expression they would be found again for each use.
+
+#: Prefix sums are made in blocks of so many numbers, as an array that grows by one is copied for each.
+BLOCK = 256
+
+
+def _sums(numbers: Column) -> Column:
+    """Prefix sums of an array<int>."""
+
+    def simple(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+
+    def whole(own: Column) -> Column:
+        before = simple(F.concat(F.array(F.lit(0)), F.transform(own, lambda xs: F.element_at(xs, -1))))
+        return F.flatten(F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda xs, o: F.transform(xs, lambda x: x + o)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda k: simple(F.slice(numbers, k * BLOCK + 1, F.lit(BLOCK))))
+    return _bound(blocks, whole)
+
+
+def _pieces(found: Column, overlap: Column) -> Column:
+    """The pieces (array of structs) of a document, given the strings of marks that make them up (one at least).
+
+    Everything that a piece needs is cut out of bytes at a known place, so that the time is linear in the document.
     """
-    ends = F.aggregate("_found", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    piece = lambda i: F.struct(
-        i.alias("piece_no"), F.greatest(F.get("_ends", i) - F.col("_overlap"), F.lit(0)).alias("start_token"), F.get("_ends", i + 1).alias("end_token")
-    )
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), piece)
-    # outer: else a filter for empty arrays is put before, which does all of this again (there is one piece at least)
-    return marked.withColumn("_ends", ends).select("*", F.inline_outer(pieces))
+
+    def piece(x: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.greatest(F.get(x["at"], i - 1) - overlap, F.lit(0)))
+        return _bound(F.struct(start.alias("s"), F.get(x["at"], i).alias("e")), lambda y: text(x, i, y["s"], y["e"]))
+
+    def text(x: Column, i: Column, start: Column, end: Column) -> Column:
+        # the mark of the token before tells if the start is within a character; then the first place after it that is not
+        part = F.length(F.regexp_extract(F.substring(x["marks"], start, end - start).cast("string"), "^-*", 0))
+        first = F.when(start == 0, 0).otherwise(F.get(x["ends"], start - 1 + part))
+        cut = F.substring(x["bytes"], first + 1, F.get(x["ends"], end - 1) - first).cast("string")
+        return F.struct(i.alias("piece_no"), start.alias("start_token"), end.alias("end_token"), (end - start).alias("n_tokens"), cut.alias("text"))
+
+    held = F.struct(_sums(F.transform(found, F.length)).alias("at"), F.col("marks").cast("binary").alias("marks"), F.col("text").cast("binary").alias("bytes"), F.col("ends").alias("ends"))
+    return _bound(held, lambda x: F.transform(F.sequence(F.lit(0), F.size(x["at"]) - 1), lambda i: piece(x, i)))
 
 
 def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int]], folder: str = TOKENIZERS) -> DataFrame:
@@ -128,13 +158,11 @@ def split_documents(documents: DataFrame, budgets: list[tuple[int, str, int, int
         this = F.col("b.budget_id") == b
         found = F.when(this, F.regexp_extract_all("marks", F.lit(pattern(c, o)), F.lit(0))).otherwise(found)
         overlap = F.when(this, o).otherwise(overlap)
-    rows = _cut(each.select("b.budget_id", "doc_id", "text", "marks", "ends", found.alias("_found"), overlap.alias("_overlap")))
-    # the first place at or after the start that is no part of a character
-    whole = F.length(F.regexp_extract(F.expr("substring(marks, start_token, end_token - start_token)"), "^-*", 0))
-    start = F.when(F.col("start_token") == 0, 0).otherwise(F.get("ends", F.col("start_token") - 1 + whole))
-    end = F.get("ends", F.col("end_token") - 1)
-    text = F.substring(F.col("text").cast("binary"), start + 1, end - start).cast("string")
-    return rows.select("budget_id", "doc_id", "piece_no", "start_token", "end_token", (F.col("end_token") - F.col("start_token")).alias("n_tokens"), text.alias("text"))
+    # the array alone goes on to be taken apart: each of its rows would else be made with a copy of the whole document
+    cut = each.select("b.budget_id", "doc_id", "text", "marks", "ends", found.alias("_found"), overlap.alias("_overlap"))
+    cut = cut.select("budget_id", "doc_id", _pieces(F.col("_found"), F.col("_overlap")).alias("_pieces"))
+    # outer: else a filter for empty arrays is put before, which does all of this again (there is one piece at least)
+    return cut.select("budget_id", "doc_id", F.inline_outer("_pieces"))
 
 
 def split_budgets(budgets: DataFrame) -> list[tuple[int, str, int, int]]:

@@ -1,20 +1,20 @@
 """Encoding of texts with a public byte-level BPE vocabulary, and decoding, in Spark SQL expressions.
 
-A text is cut into words by the vocabulary's pattern. A word that is a token itself is looked up; any other is folded:
-its bytes are the first pieces, and each step of the fold unites the leftmost pair of neighbours whose union has the
-lowest rank, until no union is a token. The rank map is a literal of the query (a scalar subquery over the rank file,
-whose size is that of the vocabulary): an array of small maps, found by the CRC of the bytes, since a lookup in a Spark
-map is linear. The ids of a token are its rank.
-
-Most words that have to be folded occur again and again, so each of the ``MEMO`` most frequent ones is folded once and
-put into a second literal of the same form; it never changes a result. All other words are folded where they stand.
+A text is cut into words by the vocabulary's pattern, and the ids of each distinct word are found once, as far as they fit
+into a bounded map. A word's bytes are the first pieces of a fold, and each step of it unites the leftmost pair of neighbours
+whose union has the lowest rank, until no union is a token. Two bytes that stand side by side in no token at all are never
+united, so words are cut there first, and the parts, of which there are far fewer different ones, are folded.
+
+The maps are literals of the query (scalar subqueries): arrays of small maps, found by a hash, since a lookup in a Spark map
+is linear. There are three: ranks by the bytes of a token (the rank file's size), ids by the bytes of the ``PARTS`` most
+frequent parts, and ids by word, of the tokens and the ``WORDS_HELD`` most frequent words. The bounds change no result: a word
+that isn't held is cut into parts, and a part that isn't held is folded, where it stands.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -26,8 +26,8 @@ from loomgraph.sources.tables import table
 
 #: Folder of the public tokenizers' files, see its README; nothing of it is copied.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
-#: The memo has the foldings of so many words at most, whatever the corpus (some 30 MB).
-MEMO = 1 << 18
+#: So many words and parts at most are held with their ids, whatever the corpus, each of at most so many bytes (some 40 MB in all).
+WORDS_HELD, PARTS, HELD_BYTES = 1 << 18, 1 << 17, 64
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Fixed value: the pattern by which the byte-level vocabularies cut texts, with white space spelled out.
@@ -44,15 +44,37 @@ def _buckets(n: int) -> int:
     return max(16, 1 << (n - 1).bit_length())
 
 
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """array<map<binary,int>> with the ranks by CRC of the bytes, and the number of maps."""
-    n = _buckets(len(ranks))
-    held: list[list[tuple[bytes, int]]] = [[] for _ in range(n)]
-    for token, rank in ranks.items():
-        held[zlib.crc32(token) % n].append((token, rank))
-    kind = pa.list_(pa.map_(pa.binary(), pa.int32()))
-    row = spark.createDataFrame(pa.table({"ranks": pa.array([held], kind)}), "ranks array<map<binary,int>>")
-    return row.scalar(), n
+def parts_pattern(ranks: dict[bytes, int]) -> str:
+    """Cuts bytes (as characters of ISO-8859-1) where two of them stand side by side in no token."""
+    after: dict[int, set[int]] = {}
+    for token in ranks:
+        for a, b in zip(token, token[1:]):
+            after.setdefault(a, set()).add(b)
+    alike: dict[frozenset[int], list[int]] = {}
+    for a, b in after.items():
+        alike.setdefault(frozenset(b), []).append(a)
+    some = lambda codes: "[" + "".join(rf"\x{c:02x}" for c in sorted(codes)) + "]"
+    on = "|".join(f"{some(a)}(?={some(b)})" for b, a in sorted(alike.items(), key=lambda x: (-len(x[0]), x[1])))
+    return f"(?s)(?:{on})*+." if on else "(?s)."
+
+
+def _place(key: Column, n: int) -> Column:
+    return F.hash(key).bitwiseAND(F.lit(n - 1))
+
+
+def _map_literal(entries: DataFrame, n: int) -> Column:
+    """array<map<key,value>> of n maps by hash of the key, from (key, value) with each key once; n is a power of two."""
+    held = entries.select(_place(F.col("key"), n).alias("at"), F.struct("key", "value").alias("entry"))
+    # an array by place, so that a lookup needs no search; some places have no key
+    places = entries.sparkSession.range(n).select(F.col("id").cast("int").alias("at"), F.lit(None).cast(held.schema["entry"].dataType).alias("entry"))
+    maps = held.unionByName(places).groupBy("at").agg(F.sort_array(F.collect_list("entry")).alias("m"))
+    row = maps.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: F.map_from_entries(x["m"])).alias("maps"))
+    return checkpointed(row).scalar()  # several queries use it
+
+
+def _found(maps: Column, n: int, key: Column) -> Column:
+    """Value of a key in a map literal, null if it isn't there."""
+    return F.try_element_at(F.get(maps, _place(key, n)), key)
 
 
 class Encoder:
@@ -61,26 +83,23 @@ class Encoder:
     def __init__(self, spark: SparkSession, name: str = "byte_bpe_50k", folder: str | None = None):
         self.spark = spark
         self.ranks = read_ranks(os.path.join(folder or TOKENIZERS, f"{name}.tiktoken"))
-        self.literal, self.n = rank_literal(spark, self.ranks)
-        self.memo: tuple[Column, int] | None = None
+        self.tokens = spark.createDataFrame(pa.table({"key": pa.array(list(self.ranks), pa.binary()), "value": pa.array(list(self.ranks.values()), pa.int32())}), "key binary, value int")
+        self.pattern = parts_pattern(self.ranks)
+        self.literals = {"ranks": (_map_literal(self.tokens, _buckets(len(self.ranks))), _buckets(len(self.ranks)))}
 
-    def _with_literals(self, df: DataFrame, keep: list[str], name: str, body: Callable[[Column, Column | None], Column]) -> DataFrame:
-        """``keep`` and ``name`` = body(rank literal, memo literal).
+    def _with_literals(self, df: DataFrame, keep: list[str], name: str, body: Callable[[Callable[[str, Column], Column]], Column]) -> DataFrame:
+        """``keep`` and ``name`` = body(look), where look(literal, key) is the value of a key, null if it has none.
 
         Subqueries can't be written within higher-order functions. As columns of a projection below, each used once, the
         optimizer puts them there; no row ever carries them.
         """
-        memo = self.memo[0] if self.memo else F.lit(None).cast("array<map<binary,array<int>>>")
-        bound = F.transform(F.array(F.struct(F.col("_ranks").alias("r"), F.col("_memo").alias("m"))), lambda x: body(x["r"], x["m"] if self.memo else None))
-        return df.withColumns({"_ranks": self.literal, "_memo": memo}).select(*keep, F.get(bound, F.lit(0)).alias(name))
+        held = F.struct(*(F.col(f"_{k}").alias(k) for k in self.literals))
+        look = lambda x: lambda literal, key: _found(x[literal], self.literals[literal][1], key) if literal in self.literals else F.lit(None).cast("array<int>")
+        bound = F.transform(F.array(held), lambda x: body(look(x)))
+        return df.withColumns({f"_{k}": maps for k, (maps, _) in self.literals.items()}).select(*keep, F.get(bound, F.lit(0)).alias(name))
 
-    def _rank(self, ranks: Column, piece: Column) -> Column:
-        """Rank of some bytes, null if they are no token."""
-        return F.try_element_at(F.get(ranks, (F.crc32(piece) % self.n).cast("int")), piece)
-
-    def _fold(self, ranks: Column, word: Column) -> Column:
-        """Token ids of a word's bytes (array<int>), by ranked merges."""
-        rank = lambda piece: self._rank(ranks, piece)
+    def _fold(self, rank: Callable[[Column], Column], word: Column) -> Column:
+        """Token ids of some bytes (array<int>), by ranked merges; ``rank`` is null for what is no token."""
         size = F.octet_length(word)
         rest = F.lit(1 << 30)
         # r holds the rank of each pair of neighbours, and null before the first and after the last piece: the pairs that a
@@ -106,41 +125,42 @@ class Encoder:
         folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda s: F.transform(s["p"], rank))
         return F.when(size == 1, F.array(rank(word))).otherwise(folded)
 
-    def words(self, text: Column, once: bool = False) -> Column:
-        """The words of a text as byte arrays, ``once`` each if wanted; none for null."""
-        found = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-        found = F.array_distinct(found) if once else found
-        return F.coalesce(F.transform(found, lambda w: w.cast("binary")), F.array().cast("array<binary>"))
+    def words(self, text: Column) -> Column:
+        """The words of a text (array<string>), null for null."""
+        return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
-    def remember(self, texts: DataFrame, column: str, limit: int = MEMO) -> Encoder:
-        """Folds the most frequent words of ``texts`` that are no tokens, once each."""
-        hard = self._with_literals(texts, [], "words", lambda ranks, _: F.filter(self.words(F.col(column), once=True), lambda w: self._rank(ranks, w).isNull()))
-        # outer: else a filter for empty arrays is put before, which finds the words a second time
-        counted = hard.select(F.explode_outer("words").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-        frequent = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word").repartition("word")
-        n = _buckets(limit) // 2
-        folded = self._with_literals(frequent, ["word"], "ids", lambda ranks, _: self._fold(ranks, F.col("word")))
-        held = folded.select((F.crc32("word") % n).cast("int").alias("at"), F.struct("word", "ids").alias("entry"))
-        # an array by place, so that a lookup needs no search; most places have a few words, some none
-        places = self.spark.range(n).select(F.col("id").cast("int").alias("at"), F.lit(None).cast(held.schema["entry"].dataType).alias("entry"))
-        entries = held.unionByName(places).groupBy("at").agg(F.sort_array(F.collect_list("entry")).alias("m"))
-        row = entries.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda x: F.map_from_entries(x["m"])).alias("memo"))
-        self.memo = (checkpointed(row).scalar(), n)
-        return self
+    def parts(self, word: Column) -> Column:
+        """The bytes of a word (array<binary>), cut where no token has two of them side by side."""
+        cut = F.regexp_extract_all(F.decode(word.cast("binary"), "ISO-8859-1"), F.lit(self.pattern), F.lit(0))
+        return F.transform(cut, lambda p: F.encode(p, "ISO-8859-1"))
 
-    def _encode(self, ranks: Column, memo: Column | None, text: Column) -> Column:
-        def one(word: Column) -> Column:
-            ids = self._fold(ranks, word)
-            if memo is not None:
-                ids = F.coalesce(F.try_element_at(F.get(memo, (F.crc32(word) % self.memo[1]).cast("int")), word), ids)
-            whole = F.transform(F.array(self._rank(ranks, word)), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
-            return F.get(whole, F.lit(0))
+    def _ids(self, look: Callable[[str, Column], Column], word: Column) -> Column:
+        """Token ids of a word, from its parts."""
+        rank = lambda piece: look("ranks", piece)
+        return F.flatten(F.transform(self.parts(word), lambda p: F.coalesce(look("parts", p), self._fold(rank, p))))
 
-        return F.flatten(F.transform(self.words(text), one))
+    def remember(self, texts: DataFrame, column: str, words_held: int = WORDS_HELD, parts_held: int = PARTS) -> Encoder:
+        """Folds the distinct parts and words of ``texts``, the most frequent ones if there are too many to be held."""
+        # outer: else a filter for empty arrays is put before, which finds the words a second time
+        words = texts.select(F.explode_outer(self.words(F.col(column))).alias("word")).filter(F.octet_length("word") <= HELD_BYTES)
+        known = self.tokens.select(F.col("key").cast("string").alias("word"))
+        counted = checkpointed(words.groupBy("word").agg(F.count("*").alias("n")).join(known, "word", "left_anti"))
+        parts = counted.select("n", F.explode_outer(self.parts(F.col("word"))).alias("key")).groupBy("key").agg(F.sum("n").alias("n"))
+        tasks = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))  # a number: small partitions aren't joined, as each row costs much
+        frequent = parts.filter("n > 1").orderBy(F.desc("n"), "key").limit(parts_held).select("key").repartition(tasks, "key")
+        folded = self._with_literals(frequent, ["key"], "value", lambda look: self._fold(lambda p: look("ranks", p), F.col("key")))
+        self.literals["parts"] = (_map_literal(folded, _buckets(parts_held)), _buckets(parts_held))
+        often = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(words_held).select(F.col("word").alias("key")).repartition(tasks, "key")
+        ids = self._with_literals(often, ["key"], "value", lambda look: self._ids(look, F.col("key")))
+        tokens = self.tokens.select(F.col("key").cast("string").alias("key"), F.array("value").alias("value")).filter(F.is_valid_utf8("key"))
+        n = _buckets(words_held + len(self.ranks)) // 2
+        self.literals["words"] = (_map_literal(ids.unionByName(tokens), n), n)
+        return self
 
     def encode(self, df: DataFrame, text: str, name: str = "ids") -> DataFrame:
         """``df`` with the token ids of a text column (array<int>); of null and of '' none."""
-        return self._with_literals(df, df.columns, name, lambda ranks, memo: self._encode(ranks, memo, F.col(text)))
+        ids = lambda look: F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(look("words", w), self._ids(look, w))))
+        return self._with_literals(df, df.columns, name, lambda look: F.coalesce(ids(look), F.array().cast("array<int>")))
 
     def decode(self, df: DataFrame, ids: str, name: str = "text") -> DataFrame:
         """``df`` with the text of token ids: their binary pieces, concatenated. An id that doesn't exist gives null."""
