@@ -20,12 +20,14 @@ number of summaries. The tracked error, ``width / 2``, is returned too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import checkpointed
 from loomgraph.sources.tables import table
 
 #: Permitted error of the end result as a share of all values of a group, in ranks.
@@ -34,8 +36,8 @@ EPS = 0.002
 LEVELS = (0.5, 0.7, 0.85, 1.0)
 #: At most so many summaries of a group are merged by one call.
 FAN_IN = 32
-#: Parts of a day, so that a day which holds a third of all rows is no single task's.
-SALTS = 16
+#: A day is summarised in so many parts at least, so that a day which holds a third of all rows is no single task's.
+DAY_PARTS = 16
 #: Values held by a task before they are summarised.
 HELD = 2_000_000
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -220,44 +222,56 @@ def daily_summaries(values: DataFrame, keys: list[str], eps: float = EPS) -> Dat
 
 
 def read_percentiles(summaries: DataFrame, keys: list[str], eps: float, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """The keys, p, value, n, rank_error (tracked) and rank_bound (``floor(eps * n)``) of each summary and p.
+    """The keys, p, value, n, tuples, rank_error (tracked) and rank_bound (``floor(eps * n)``) of each summary and p.
 
-    ``value`` has a rank within ``rank_error`` of ``ceil(p * n)``, and ``rank_error <= rank_bound``.
+    ``value`` has a rank within ``rank_error`` of ``ceil(p * n)``, and ``rank_error <= rank_bound``. ``tuples`` is the
+    length of the summary, against ``n`` values.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, p, quantile(s, p), s[0], s[1] // 2) for i, s in enumerate(_summaries(pa.Table.from_batches([batch]))) for p in ps]
-            at, *rest = zip(*out) if out else [[]] * 5
+            out = [(i, p, quantile(s, p), s[0], len(s[2]), s[1] // 2) for i, s in enumerate(_summaries(pa.Table.from_batches([batch]))) for p in ps]
+            at, *rest = zip(*out) if out else [[]] * 6
             columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
-            columns += [pa.array(c, kind) for c, kind in zip(rest, (pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "p", "value", "n", "rank_error"])
+            columns += [pa.array(c, kind) for c, kind in zip(rest, (pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "p", "value", "n", "tuples", "rank_error"])
 
     schema = _schema(summaries, keys).removesuffix(_SUMMARY)
-    out = summaries.mapInArrow(read, f"{schema}p double, value double, n bigint, rank_error bigint")
+    out = summaries.mapInArrow(read, f"{schema}p double, value double, n bigint, tuples int, rank_error bigint")
     return out.withColumn("rank_bound", F.floor(F.col("n") * eps).cast("bigint"))
 
 
+def monthly_summaries(daily: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
+    """Daily summaries merged by month."""
+    months = daily.withColumn("month", F.trunc("day", "month"))
+    return merge_summaries(months, [F.col("month"), F.pmod(F.hash(*keys), F.lit(8))], [*keys, "month"], eps * LEVELS[1], eps * LEVELS[2])
+
+
+def whole_summaries(monthly: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
+    """Monthly summaries merged over all time."""
+    return merge_summaries(monthly, [F.pmod(F.hash(*keys), F.lit(64))], keys, eps * LEVELS[2], eps)
+
+
 def percentiles(daily: DataFrame, keys: list[str], eps: float = EPS, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """Percentiles of each group over all of its days, see ``read_percentiles``. Days are merged into months first, then months."""
-    months = daily.withColumn("month", F.trunc("day", "month"))
-    months = merge_summaries(months, [F.col("month"), F.pmod(F.hash(*keys), F.lit(8))], [*keys, "month"], eps * LEVELS[1], eps * LEVELS[2])
-    whole = merge_summaries(months, [F.pmod(F.hash(*keys), F.lit(64))], keys, eps * LEVELS[2], eps)
-    return read_percentiles(whole, keys, eps, ps)
+    return read_percentiles(whole_summaries(monthly_summaries(daily, keys, eps), keys, eps), keys, eps, ps)
 
 
-def call_measures(calls: DataFrame) -> DataFrame:
+def call_measures(calls: DataFrame, day_parts: int | None = None) -> DataFrame:
     """One row for each call and measure: agent_name, model, day, measure, value.
 
     A call that is there several times counts once (all its copies have the same call_ts, which may be null; so one
     shuffle, by parts of days, serves both this and the summaries). Null and -1 (not measured) are left out, 0
-    counts. Null agents and models are groups of their own.
+    counts. Null agents and models are groups of their own. ``day_parts``: a quarter of the shuffle partitions unless
+    given, so that a day with a third of all rows is spread over a quarter of the tasks.
     """
+    if day_parts is None:
+        day_parts = max(DAY_PARTS, int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     rows = calls.select(
         "id", "agent_name", "model", "latency_ms", "total_tokens",
-        F.to_date("call_ts").alias("day"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_salt"),
+        F.to_date("call_ts").alias("day"), F.pmod(F.xxhash64("id"), F.lit(day_parts)).alias("_part"),
     )
-    once = rows.repartition("day", "_salt").dropDuplicates(["day", "_salt", "id"])
+    once = rows.repartition("day", "_part").dropDuplicates(["day", "_part", "id"])
     measures = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("latency_ms", "total_tokens")))
     return once.select("agent_name", "model", "day", F.inline(measures)).filter("value is not null and value <> -1")
 
@@ -265,14 +279,30 @@ def call_measures(calls: DataFrame) -> DataFrame:
 KEYS = ["agent_name", "model", "measure"]
 
 
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return daily_summaries(call_measures(table(spark, d, "llm_call_metrics")), KEYS)
+
+
+def p4_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of every day, month and of all time (``period``: day, month or all; ``since``: its first day), by agent, model and measure.
+
+    Each level is merged from the summaries of the one below, which are written once.
+    """
+    daily = checkpointed(_daily(spark, d))
+    monthly = checkpointed(monthly_summaries(daily, KEYS))
+    levels = (("day", daily.withColumnRenamed("day", "since")), ("month", monthly.withColumnRenamed("month", "since")), ("all", whole_summaries(monthly, KEYS).withColumn("since", F.lit(None).cast("date"))))
+    rows = (read_percentiles(s, [*KEYS, "since"], EPS).withColumn("period", F.lit(name)) for name, s in levels)
+    return reduce(DataFrame.unionByName, rows)
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles(daily_summaries(call_measures(table(spark, d, "llm_call_metrics")), KEYS), KEYS)
+    return percentiles(_daily(spark, d), KEYS)
 
 
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of single days, from the summaries that ``p4_percentiles`` combines."""
-    return read_percentiles(daily_summaries(call_measures(table(spark, d, "llm_call_metrics")), KEYS), [*KEYS, "day"], EPS)
+    return read_percentiles(_daily(spark, d), [*KEYS, "day"], EPS)
 
 
-QUERIES = {"p4_daily": p4_daily, "p4_percentiles": p4_percentiles}
+QUERIES = {"p4_levels": p4_levels, "p4_percentiles": p4_percentiles, "p4_daily": p4_daily}
 SQL: dict[str, str] = {}

@@ -66,3 +66,23 @@ def test_nulls_repeats_and_ties(spark):
     assert got == {("a", "m", "latency_ms", p): (5.0, 2) for p in q.PERCENTILES} | {(None, "m", "total_tokens", p): (0.0, 1) for p in q.PERCENTILES}
     empty = spark.createDataFrame([], schema)
     assert q.percentiles(q.daily_summaries(q.call_measures(empty), q.KEYS), q.KEYS).count() == 0
+
+
+def test_levels_against_exact_ranks(spark, data):
+    """On the largest tables, where summaries are really compressed: every answer for all time and single months within its tracked error."""
+    d = data("sf0.1")
+    got = q.p4_levels(spark, d).filter("period <> 'day'").toPandas()
+    calls = pd.read_parquet(f"{d}/llm_call_metrics.parquet", columns=["id", "agent_name", "model", "call_ts", *("latency_ms", "total_tokens")]).drop_duplicates("id")
+    long = calls.melt(["agent_name", "model", "call_ts"], ["latency_ms", "total_tokens"], "measure").dropna(subset=["value"]).query("value != -1")
+    long["since"] = long.call_ts.dt.to_period("M").dt.start_time.dt.date
+    whole = dict(list(long.groupby(["agent_name", "model", "measure"]).value))
+    months = dict(list(long.groupby(["agent_name", "model", "measure", "since"]).value))
+    checked = 0
+    for r in got.itertuples():
+        x = (whole if r.period == "all" else months).get((r.agent_name, r.model, r.measure, *(() if r.period == "all" else (r.since,))))
+        if x is not None:  # groups with a null key are checked above
+            assert len(x) == r.n and r.rank_error <= r.rank_bound and off(x.to_numpy(), r.value, r.p) <= r.rank_error
+            checked += 1
+    assert checked > 1000
+    big = got[(got.period == "all") & (got.n >= 5 / q.EPS)]
+    assert len(big) and (big.tuples < big.n / 4).all() and (big.rank_error > 0).any()
