@@ -15,7 +15,7 @@ def since(df: DataFrame, time: str, now: Column, days: float) -> DataFrame:
 
 
 def last_time(df: DataFrame, time: str) -> Column:
-    """The latest time of a table as a scalar: from the files' statistics where possible, never collected."""
+    """The latest time of a table as a scalar, never collected. Give the table as it is: repeated rows change nothing, and making them unique costs a shuffle."""
     return df.agg(F.max(time)).scalar()
 
 
@@ -96,9 +96,34 @@ def rolling_usage(calls: DataFrame, days: int) -> DataFrame:
 
 
 def sessions(calls: DataFrame, gap_minutes: int) -> DataFrame:
-    """Runs of calls of a conversation without a pause of more than ``gap_minutes``: start, end and number of calls."""
-    order = Window.partitionBy("conversation_id").orderBy("call_ts", "id")
-    pause = F.col("call_ts") > F.lag("call_ts").over(order) + F.make_dt_interval(mins=F.lit(gap_minutes))
-    marked = calls.filter("conversation_id is not null").withColumn("_new", F.coalesce(pause, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("session", F.sum("_new").over(order))
-    return numbered.groupBy("conversation_id", "session").agg(F.min("call_ts").alias("started"), F.max("call_ts").alias("ended"), F.count("*").alias("calls"))
+    """Runs of calls of a conversation without a pause of more than ``gap_minutes``: start, end and number of calls.
+
+    ``calls``: id, conversation_id, call_ts. Pauses are found within each hour of a conversation, so that one with a third
+    of all rows is no single task's; what is carried from hour to hour, the last time and the number of sessions so far,
+    is a row for each hour with calls.
+    """
+    gap = F.make_dt_interval(mins=F.lit(gap_minutes))
+    rows = calls.filter("conversation_id is not null").withColumn("_hour", F.date_trunc("hour", "call_ts"))
+    order = Window.partitionBy("conversation_id", "_hour").orderBy("call_ts", "id")
+    pause = F.coalesce(F.col("call_ts") > F.lag("call_ts").over(order) + gap, F.lit(False)).cast("int")
+    parts = rows.withColumn("_pause", pause).withColumn("_part", F.sum("_pause").over(order))
+    parts = parts.groupBy("conversation_id", "_hour", "_part").agg(F.min("call_ts").alias("_from"), F.max("call_ts").alias("_to"), F.count("*").alias("_n"))
+    along = Window.partitionBy("conversation_id").orderBy("_hour", "_part")
+    new = F.coalesce(F.col("_from") > F.lag("_to").over(along) + gap, F.row_number().over(along) == 1).cast("int")
+    numbered = parts.withColumn("_new", new).withColumn("session", F.sum("_new").over(along))
+    return numbered.groupBy("conversation_id", "session").agg(F.min("_from").alias("started"), F.max("_to").alias("ended"), F.sum("_n").alias("calls"))
+
+
+def agent_stats(calls: DataFrame) -> DataFrame:
+    """One row for each agent: calls, failures, tokens, cost, latency, success rate and average scores of successful calls."""
+    ok = F.col("success")
+    score = lambda c: F.sum(F.when(ok, F.col(c).cast("decimal(12,4)"))).cast("double") / F.nullif(F.count(F.when(ok, F.col(c))), F.lit(0))
+    return calls.groupBy("agent_name").agg(
+        F.count("*").alias("calls"),
+        F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.col("estimated_cost").cast("decimal(18,8)")).cast("double"), F.lit(0.0)).alias("cost"),
+        F.coalesce(F.avg(F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency"),
+        F.round(F.count_if(ok) * 100.0 / F.count("*"), 2).alias("success_rate"),
+        *(score(c).alias(c) for c in SCORES),
+    )

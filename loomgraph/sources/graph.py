@@ -21,11 +21,11 @@ UNION ALL SELECT DISTINCT 'E:' || s, 'E:' || t, 'USES', 'events' FROM (SELECT ev
 """
 
 NODES_SQL = """
-SELECT 'R:' || CAST(r_regionkey AS STRING) AS node_id, 'INTERFACE' AS node_type, 'tpch' AS repo, 'geo.region.' || r_name AS fqn, r_name AS simple_name, 'geo.region' AS package_name, 'src/geo/' || r_name || '.java' AS file_path, 'Roles: root' AS summary, CAST(NULL AS STRING) AS domain, CAST(NULL AS STRING) AS features FROM region
-UNION ALL SELECT 'N:' || CAST(n_nationkey AS STRING), 'CLASS', 'tpch', 'geo.nation.' || n_name, n_name, 'geo.nation', 'src/geo/' || n_name || '.java', 'Roles: node', 'geo', NULL FROM nation
-UNION ALL SELECT 'C:' || CAST(c_custkey AS STRING), 'CLASS', 'tpch', 'crm.' || lower(c_mktsegment) || '.' || c_name, c_name, 'crm.' || lower(c_mktsegment), 'src/crm/' || c_name || '.java', '', lower(c_mktsegment), NULL FROM customer
-UNION ALL SELECT 'S:' || CAST(s_suppkey AS STRING), 'METHOD', 'tpch', 'sup.' || s_name, s_name, 'sup', 'src/sup/' || s_name || '.java', NULL, 'supply', NULL FROM supplier
-UNION ALL SELECT 'P:' || CAST(p_partkey AS STRING), 'FIELD', 'tpch', 'cat.' || lower(p_type) || '.' || p_name, p_name, 'cat.' || lower(p_type), 'src/cat/' || CAST(p_partkey AS STRING) || '.java', p_brand, lower(p_type), replace(p_name, ' ', ',') FROM part
+SELECT 'R:' || CAST(r_regionkey AS STRING) AS node_id, 'INTERFACE' AS node_type, 'tpch' AS repo, 'geo.region.' || r_name AS fqn, r_name AS simple_name, 'geo.region' AS package_name, 'src/geo/' || r_name || '.java' AS file_path, 'Roles: root' AS summary, CAST(NULL AS STRING) AS domain, CAST(NULL AS STRING) AS features, CAST(NULL AS STRING) AS concepts FROM region
+UNION ALL SELECT 'N:' || CAST(n_nationkey AS STRING), 'CLASS', 'tpch', 'geo.nation.' || n_name, n_name, 'geo.nation', 'src/geo/' || n_name || '.java', 'Roles: node', 'geo', NULL, NULL FROM nation
+UNION ALL SELECT 'C:' || CAST(c_custkey AS STRING), 'CLASS', 'tpch', 'crm.' || lower(c_mktsegment) || '.' || c_name, c_name, 'crm.' || lower(c_mktsegment), 'src/crm/' || c_name || '.java', '', lower(c_mktsegment), NULL, NULL FROM customer
+UNION ALL SELECT 'S:' || CAST(s_suppkey AS STRING), 'METHOD', 'tpch', 'sup.' || s_name, s_name, 'sup', 'src/sup/' || s_name || '.java', NULL, 'supply', NULL, NULL FROM supplier
+UNION ALL SELECT 'P:' || CAST(p_partkey AS STRING), 'FIELD', 'tpch', 'cat.' || lower(p_type) || '.' || p_name, p_name, 'cat.' || lower(p_type), 'src/cat/' || CAST(p_partkey AS STRING) || '.java', p_brand, lower(p_type), replace(p_name, ' ', ','), replace(lower(p_brand), '#', ',') FROM part
 """
 
 
@@ -42,5 +42,5 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """node_id, node_type, repo, fqn, simple_name, package_name, file_path, summary, domain, features."""
+    """node_id, node_type, repo, fqn, simple_name, package_name, file_path, summary, domain, features, concepts."""
     return _view(spark, d, NODES_SQL)
