@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import code, graph, metrics, references, streams
+from loomgraph.plans import code, graph, java, metrics, references, streams
 
-_MODULES = (references, metrics, graph, code, streams)
+_MODULES = (references, metrics, graph, java, code, streams)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
