@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.java import SKIPPED
+
 
 def first_then_rank(results: list[DataFrame], k: int) -> DataFrame:
     """id, score and strategy of the best ``k``: an id that several strategies found counts with the first of them.
@@ -51,3 +53,29 @@ def prefix_join(names: DataFrame, name: str, prefixes: DataFrame, prefix: str) -
     found = heads.join(prefixes.select(F.col(prefix).alias("_prefix")).distinct(), F.col("h.head") == F.col("_prefix")).groupBy("_name").agg(F.max_by("_prefix", "h.n").alias(prefix))
     return names.join(found, names[name] == found["_name"], "left").drop("_name")
 
+
+def test_summary(logs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, run, failed, skipped, passed and failed_tests of each log with a line 'Tests run:': run and skipped of the last such line,
+    failures and errors of all of them, passed = run - failed, and the names before ``<<< FAILURE!`` or ``<<< ERROR!``.
+    """
+    some = logs.filter(F.contains(text, F.lit("Tests run:")))
+    lines = some.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "line")).filter(F.contains("line", F.lit("Tests run:")) | F.contains("line", F.lit("<<< ")))
+    number = lambda name: F.nullif(F.regexp_extract("line", name + ": *([0-9]{1,9})", 1), F.lit("")).cast("int")
+    zero = lambda name: F.coalesce(number(name), F.lit(0))
+    name = F.nullif(F.regexp_extract("line", r"([\w.$]+)[^<]*<<< (?:FAILURE|ERROR)!", 1), F.lit(""))
+    rows = lines.select(key, "_at", number("Tests run").alias("run"), (zero("Failures") + zero("Errors")).alias("bad"), zero("Skipped").alias("skip"), name.alias("name"))
+    told = F.col("run").isNotNull()
+    out = rows.groupBy(key).agg(
+        F.max_by("run", F.when(told, F.col("_at"))).alias("run"), F.sum(F.when(told, F.col("bad"))).alias("failed"), F.max_by("skip", F.when(told, F.col("_at"))).alias("skipped"),
+        F.sort_array(F.collect_set("name")).alias("failed_tests"),
+    )
+    return out.filter("run is not null").withColumn("passed", F.col("run") - F.col("failed"))
+
+
+def code_quality(methods: DataFrame, most: int) -> DataFrame:
+    """id, lines (from the first brace to the last one), null_returns and else_ifs of methods with more than ``most`` lines, a ``return null``, or
+    a chain of conditions. Strings and comments don't count, so braces in them don't either."""
+    code = methods.filter("source_code <> ''").select("id", F.regexp_replace("source_code", SKIPPED, " ").alias("code"))
+    body = F.regexp_extract("code", r"(?s)(\{.*\})", 1)
+    out = code.select("id", F.size(F.split(body, "\n")).alias("lines"), F.regexp_count("code", F.lit(r"\breturn\s+null\s*;")).alias("null_returns"), F.regexp_count("code", F.lit(r"\belse\s+if\s*\(")).alias("else_ifs"))
+    return out.filter((F.col("lines") > most) | (F.col("null_returns") > 0) | (F.col("else_ifs") > 0)).distinct()

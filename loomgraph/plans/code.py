@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as t
+from loomgraph.functions.java import SKIPPED
 from loomgraph.operators import retrieval as r
-from loomgraph.operators.metrics import top_per_group
 from loomgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -49,62 +49,6 @@ def detect_search_mode(spark, d):
     return table(spark, d, "workflows", "workflow_id", "goal").distinct().filter("goal is not null").select("workflow_id", t.search_mode(F.col("goal")).alias("mode"))
 
 
-_HIT = lambda c, k: f"contains(lower(coalesce({c}, '')), '{k}')"
-_SCORE = "least(1.0E0, (" + " + ".join(f"CASE WHEN {_HIT('name', k)} THEN 3 WHEN {_HIT('fully_qualified_name', k)} THEN 2 WHEN {_HIT('source_code', k)} THEN 1 ELSE 0 END" for k in ("refund", "ledger")) + ") / 6.0E0)"
-_C = "(SELECT DISTINCT id, name, fully_qualified_name, package_name, source_file_path, class_type, super_class_name, source_code, annotations FROM classes) c"
-
-
-@query(f"SELECT id, round({_SCORE}, 6) AS score FROM {_C} WHERE {_SCORE} > 0 ORDER BY score DESC, id LIMIT 20")
-def keyword_search(spark, d):
-    score = F.round(t.keyword_score(["refund", "ledger"], F.col("name"), F.col("fully_qualified_name"), F.col("source_code")), 6)
-    return _classes(spark, d, score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(20)
-
-
-@query(f"SELECT id FROM {_C} WHERE contains(source_code, 'TimeoutException')")
-def full_text_search(spark, d):
-    return _classes(spark, d, "source_code").filter(F.contains("source_code", F.lit("TimeoutException"))).select("id")
-
-
-@query("SELECT doc_id, file_path FROM documents WHERE regexp_full_match(file_path, '.*(Parser|Route)[^/]*')")
-def file_pattern(spark, d):
-    return table(spark, d, "documents", "doc_id", "file_path").filter(F.col("file_path").rlike(r"^.*(Parser|Route)[^/]*\z"))
-
-
-@query(f"SELECT id FROM {_C} WHERE len(list_filter(annotations, lambda a: contains(a, 'Service') OR contains(a, 'Component'))) > 0 OR contains(name, 'Repository')")
-def metadata_filter(spark, d):
-    found = F.exists("annotations", lambda a: F.contains(a, F.lit("Service")) | F.contains(a, F.lit("Component")))
-    return _classes(spark, d, "annotations", "name").filter(F.coalesce(found, F.lit(False)) | F.contains("name", F.lit("Repository"))).select("id")
-
-
-@query(f"""SELECT id, score, strategy FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strategy) AS n FROM (
-  SELECT id, 1.0E0 AS score, 0 AS strategy FROM {_C} WHERE contains(name, 'Ledger') UNION ALL SELECT id, round({_SCORE}, 6), 1 FROM {_C} WHERE {_SCORE} > 0) u) v WHERE n = 1 ORDER BY score DESC, id LIMIT 50""")
-def dedupe_first_then_rank(spark, d):
-    named = _classes(spark, d, "name").filter(F.contains("name", F.lit("Ledger"))).select("id", F.lit(1.0).alias("score"))
-    score = F.round(t.keyword_score(["refund", "ledger"], F.col("name"), F.col("fully_qualified_name"), F.col("source_code")), 6)
-    return r.first_then_rank([named, _classes(spark, d, score.alias("score")).filter("score > 0")], 50)
-
-
-@query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
-def vector_search(spark, d):
-    """The 20 nearest to vector 0 by cosine. The one query vector (64 numbers) becomes a literal; the top 20 are taken in each task."""
-    vectors = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    asked = [float(x) for x in vectors.filter("vec_id = 0").first()["embedding"]]
-    add = lambda a, x: a + x
-    dot = F.aggregate(F.zip_with("embedding", F.lit(asked), lambda a, b: a * b), F.lit(0.0), add)
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda a: a * a), F.lit(0.0), add)) * sum(x * x for x in asked) ** 0.5
-    return vectors.select("vec_id", F.round(F.try_divide(dot, norm), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
-
-
-@query("""WITH s AS (SELECT agent_name, list(faithfulness_score ORDER BY faithfulness_score DESC) AS x FROM (SELECT DISTINCT id, agent_name, faithfulness_score FROM llm_call_metrics WHERE faithfulness_score IS NOT NULL) c GROUP BY agent_name),
- g AS (SELECT agent_name, x, i, x[i + 1] - x[i + 2] AS gap FROM s, unnest(range(2, least(len(x) - 1, 10))) t(i) WHERE len(x) > 3),
- b AS (SELECT agent_name, arg_max(x[i + 1], struct_pack(a := gap, b := -i)) AS before_gap, max(gap) AS gap FROM g GROUP BY agent_name)
- SELECT s.agent_name, round(CASE WHEN len(x) <= 3 THEN greatest(0.5E0, 0.7E0 * x[1]) ELSE least(0.8E0, greatest(0.5E0, CASE WHEN gap >= 0.15 THEN before_gap ELSE 0.7E0 * x[1] END)) END, 6) AS threshold FROM s LEFT JOIN b ON b.agent_name = s.agent_name""")
-def adaptive_threshold(spark, d):
-    scores = table(spark, d, "llm_call_metrics", "id", "agent_name", "faithfulness_score").filter("faithfulness_score is not null").dropDuplicates(["id"])
-    ranked = top_per_group(scores, ["agent_name"], [F.desc("faithfulness_score"), F.col("id")], 12)  # the threshold looks at eleven scores at most
-    lists = ranked.groupBy("agent_name").agg(F.sort_array(F.collect_list("faithfulness_score"), asc=False).alias("x"))
-    return lists.select("agent_name", F.round(r.adaptive_threshold(F.col("x")), 6).alias("threshold"))
-
 
 @query("SELECT id, regexp_extract(coalesce(fully_qualified_name, ''), '^(.*)\\.[^.]*$', 1) AS package_name FROM (SELECT DISTINCT id, fully_qualified_name FROM methods) m")
 def package_of(spark, d):
@@ -152,12 +96,11 @@ def class_hierarchy(spark, d):
     return c.filter("super_class_name is not null or interfaces > 0")
 
 
-@query("""SELECT id, len(regexp_extract_all(source_code, 'return null;')) AS null_returns, len(regexp_extract_all(source_code, 'else\\s+if\\s*\\(')) AS else_ifs, end_line - start_line + 1 AS lines
- FROM (SELECT DISTINCT id, source_code, start_line, end_line FROM methods WHERE source_code IS NOT NULL) m WHERE contains(source_code, 'return null;') OR end_line - start_line + 1 > 20""")
+@query(r"""WITH c AS (SELECT DISTINCT id, regexp_replace(source_code, {skipped}, ' ', 'g') AS code FROM methods WHERE source_code <> ''),
+ b AS (SELECT id, code, len(string_split(regexp_extract(code, '(?s)(\{{.*\}})', 1), chr(10))) AS lines, len(regexp_extract_all(code, '\breturn\s+null\s*;')) AS null_returns, len(regexp_extract_all(code, '\belse\s+if\s*\(')) AS else_ifs FROM c)
+ SELECT id, lines, null_returns, else_ifs FROM b WHERE lines > 20 OR null_returns > 0 OR else_ifs > 0""".format(skipped="'" + SKIPPED.replace("'", "''") + "'"))
 def code_quality_violations(spark, d):
-    m = _methods(spark, d, F.regexp_count("source_code", F.lit("return null;")).alias("null_returns"), F.regexp_count("source_code", F.lit(r"else\s+if\s*\(")).alias("else_ifs"),
-                 (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
-    return m.filter("null_returns is not null and (null_returns > 0 or lines > 20)")
+    return r.code_quality(table(spark, d, "methods", "id", "source_code"), most=20)
 
 
 @query("""SELECT doc_id, message, count(*) AS n FROM (SELECT doc_id, regexp_extract(line, '(?:\\[ERROR\\]|ERROR +\\[[^\\]]*\\])[ \\t]+(.+)', 1) AS message FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE contains(text, 'ERROR')) l
@@ -170,14 +113,13 @@ def build_errors(spark, d):
     return found.filter((F.col("message") != "") & ~noise).groupBy("doc_id", "message").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CAST(sum(run) AS BIGINT) AS run, CAST(sum(failed) AS BIGINT) AS failed FROM (SELECT doc_id, CAST(regexp_extract(line, 'Tests run: *([0-9]+)', 1) AS INT) AS run,
- coalesce(TRY_CAST(regexp_extract(line, 'Failures: *([0-9]+)', 1) AS INT), 0) + coalesce(TRY_CAST(regexp_extract(line, 'Errors: *([0-9]+)', 1) AS INT), 0) AS failed
- FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l WHERE regexp_matches(line, 'Tests run: *[0-9]{1,9}')) m GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE contains(text, 'Tests run:') OR contains(text, '<<< ')),
+ m AS (SELECT doc_id, pos, TRY_CAST(regexp_extract(line, 'Tests run: *([0-9]{1,9})', 1) AS INT) AS run, coalesce(TRY_CAST(regexp_extract(line, 'Failures: *([0-9]{1,9})', 1) AS INT), 0) + coalesce(TRY_CAST(regexp_extract(line, 'Errors: *([0-9]{1,9})', 1) AS INT), 0) AS failed,
+  coalesce(TRY_CAST(regexp_extract(line, 'Skipped: *([0-9]{1,9})', 1) AS INT), 0) AS skipped, nullif(regexp_extract(line, '([\w.$]+)[^<]*<<< (?:FAILURE|ERROR)!', 1), '') AS name FROM l)
+ SELECT doc_id, arg_max(run, pos) AS run, CAST(sum(CASE WHEN run IS NOT NULL THEN failed END) AS BIGINT) AS failed, arg_max(CASE WHEN run IS NOT NULL THEN skipped END, CASE WHEN run IS NOT NULL THEN pos END) AS skipped,
+  arg_max(run, pos) - CAST(sum(CASE WHEN run IS NOT NULL THEN failed END) AS BIGINT) AS passed, array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE name IS NOT NULL)), ',') AS failed_tests FROM m GROUP BY doc_id HAVING count(run) > 0"""  )
 def test_summary(spark, d):
-    lines = table(spark, d, "documents", "doc_id", "text").filter(F.contains("text", F.lit("Tests run:"))).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    number = lambda p: F.coalesce(F.try_to_number(F.regexp_extract("line", p, 1), F.lit("999999999")).cast("int"), F.lit(0))
-    rows = lines.filter(F.col("line").rlike("Tests run: *[0-9]{1,9}")).select("doc_id", number("Tests run: *([0-9]+)").alias("run"), (number("Failures: *([0-9]+)") + number("Errors: *([0-9]+)")).alias("failed"))
-    return rows.groupBy("doc_id").agg(F.sum("run").alias("run"), F.sum("failed").alias("failed"))
+    return r.test_summary(table(spark, d, "documents", "doc_id", "text"), "doc_id").withColumn("failed_tests", F.when(F.size("failed_tests") > 0, F.array_join("failed_tests", ",")))
 
 
 @query("""SELECT id, md5(trim(regexp_replace(regexp_replace(trim(response), '^```[A-Za-z]*\\s*', ''), '\\s*```$', ''))) AS body FROM (SELECT DISTINCT id, response FROM llm_call_metrics) c WHERE response LIKE '```%'""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,12 @@ def local_session(app: str = "loomgraph", cores: str = "*", shuffle_partitions:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that its lineage is cut and it is computed once.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set where it is not.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a
-    temporary folder is chosen, which is right for a local master alone.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is chosen,
+    which is right for a local master alone.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for tables and streams."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, so that its lineage is cut and it is computed once."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
