@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from loomgraph.sources.tables import table
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "pt", "ru")
 #: The model is fitted on at most so many labelled documents of each language, those with the smallest hash of their id.
 FIT_DOCUMENTS = 400
+#: ... and then on so many calls at most, those with the smallest hash of their id.
+FIT_CALLS = 8192
 #: Trigrams are hashed into so many buckets: the model is LANGUAGES x BUCKETS numbers, whatever the corpus.
 BUCKETS = 1 << 15
 #: A language is told only if its log posterior leads by so much, over at least so many letters.
@@ -86,6 +88,8 @@ _HINTS = re.compile(
 )
 #: A sentence with a hint is a refusal if it answers so many different prompts with which it shares no word of content.
 MIN_PROMPTS = 3
+#: A sentence that shares so many words of more than four letters with the prompt is part of an answer, unless it declines.
+SHARED = 3
 
 # One of these stands in every text that _REFUSALS finds, in lower case.
 _CUES = ("cannot", "can't", "can’t", "can not", "won't", "won’t", "will not", "able", "declin", "refus", "rather not", "allowed", "permitted", "authori", "may not", "do not", "don't", "don’t", "unfortunately", "sorry", "regret", "possible", "denied", "rejected",
@@ -97,13 +101,19 @@ _SKIPPED = r"</?[A-Za-z][^<>]*+>|```\w*+|[^\w←-⏿☀-➿\U0001f000-\U0001ffff
 #: a text with so few characters of content, wherever they stand, that it may be a word for nothing
 _FEW = re.compile(rf"(?:{_SKIPPED})*+(?:[\w←-⏿☀-➿\U0001f000-\U0001ffff](?:{_SKIPPED})*+){{0,9}}+\Z")
 _NOTHING = {"null", "none", "nil", "na", "undefined", "nan", "nul"}
-_LABEL = re.compile(r"^\W*(?:question|prompt|q|user|input|request|frage|pregunta|pergunta|domanda|вопрос|質問|问题|task|query|instruction)\s*[:：\-]\s*", re.IGNORECASE)
+_LABEL = re.compile(
+    r"^\W*(?:question|prompt|q|user|input|request|frage|pregunta|pergunta|domanda|вопрос|質問|问题|task|query|instruction|(?:you|the user) (?:asked|wrote|said)|you want to know|your (?:question|request|prompt)(?: was| is)?"
+    r"|du fragst|sie fragen|vous demandez|preguntas|você perguntou|hai chiesto|вы спросили)\s*[:：\-]\s*",
+    re.IGNORECASE,
+)
+#: a text that is one quotation as a whole
+_WHOLE_QUOTE = re.compile(r"^\s*(?:[\"“„«「'‘`>]+)([\s\S]*?)(?:[\"”“»」'’`]+)\s*[.!?。]?\s*\Z")
 
 _FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
 _CODE_LINE = re.compile(r"^(?:[ \t]*(?:[@{}|#<]|/[/*]|\*[ /]|\*$).*|.*[;{}]|[ \t]{4,}.*|[ \t]*(?:public|private|protected|static|final|import|package)\b.*)[ \t\r]*$", re.MULTILINE)
-_QUOTED = re.compile(r'"[^"\n]{0,400}"|«[^»\n]{0,400}»|“[^”\n]{0,400}”|„[^“”\n]{0,400}[“”]|`[^`\n]{0,400}`|「[^」\n]{0,400}」')
+_QUOTED = re.compile(r'"[^"\n]*"|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|`[^`\n]*`|「[^」\n]*」')
 _NAME = re.compile(
-    r"https?://\S+|<[^<>\n]{0,80}>|(?<![A-Za-z0-9_$./\\@-])(?=[A-Za-z]*(?:[a-z][A-Z]|[\d_/\\@$]|(?<=[A-Za-z])[.-][A-Za-z0-9]))[A-Za-z0-9_$./\\@-]+"
+    r"https?://\S+|<[^<>\n]*>|(?<![A-Za-z0-9_$./\\@-])(?=[A-Za-z]*(?:[a-z][A-Z]|[\d_/\\@$]|(?<=[A-Za-z])[.-][A-Za-z0-9]))[A-Za-z0-9_$./\\@-]+"
 )
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
@@ -140,32 +150,57 @@ def languages(texts: list[str], model: np.ndarray) -> np.ndarray:
     return np.where((top[-1] - top[-2] >= MARGIN) & (letters >= MIN_LETTERS), best, -1)
 
 
-def fit_languages(documents: DataFrame) -> np.ndarray:
-    """Log probabilities (LANGUAGES x BUCKETS) of hashed trigrams, from documents with a usable ``lang``.
+def _counted(texts: DataFrame, judge: Callable[..., list[int]]) -> np.ndarray:
+    """Trigram counts (LANGUAGES x BUCKETS) of pairs of texts (the first two columns) under the language that ``judge`` gives for each, from all columns (-1: none)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            labels = np.array(judge(*columns), np.int64)
+            for own in columns[:2]:
+                bucket, owner = _buckets([prose(t or "") for t in own])
+                if len(bucket):
+                    told = labels[owner] >= 0
+                    np.add.at(total, (labels[owner][told], bucket[told]), 1)
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total[at])], names=["language", "bucket", "n"])
+
+    counted = texts.mapInArrow(count, "language bigint, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((len(LANGUAGES), BUCKETS))
+    out[counted["language"].to_numpy(), counted["bucket"].to_numpy()] += counted["n"].to_numpy()
+    return out
+
+
+def _model(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.1) / (counts + 0.1).sum(1, keepdims=True))
+
+
+def fit_languages(documents: DataFrame, calls: DataFrame | None = None) -> np.ndarray:
+    """Log probabilities (LANGUAGES x BUCKETS) of hashed trigrams, from documents with a usable ``lang``, and then from pairs.
 
     ``documents``: doc_id, text, lang. Labels count without case, blanks and region. Some may be wrong: the model is a sum
-    over up to ``FIT_DOCUMENTS`` documents of a language and bears that.
+    over up to ``FIT_DOCUMENTS`` documents of a language and bears that. Prompts are of another kind than documents, so
+    the prompts and responses of ``FIT_CALLS`` calls (id, prompt, response) are added under the language that this model finds for
+    the response, unless the prompt names a language: nearly all pairs are in one language.
     """
     label = F.substring_index(F.lower(F.btrim("lang", F.lit(" \t"))), "-", 1)
     labelled = documents.filter("text is not null").select("doc_id", label.alias("label")).filter(F.col("label").isin(*LANGUAGES))
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FIT_DOCUMENTS).drop("_n")
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.lit("").alias("none"), "text", "label")
+    counts = _counted(sample, lambda _, __, labels: [LANGUAGES.index(x) for x in labels])
+    if calls is None:
+        return _model(counts)
+    first = _model(counts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
-        for batch in batches:
-            labels = [LANGUAGES.index(x) for x in batch.column(0).to_pylist()]
-            bucket, owner = _buckets([prose(t) for t in batch.column(1).to_pylist()])
-            if len(bucket):
-                np.add.at(total, (np.array(labels)[owner], bucket), 1)
-        at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total[at])], names=["language", "bucket", "n"])
+    def judge(prompts: list[str], responses: list[str]) -> list[int]:
+        found = languages([prose(r or "") for r in responses], first)
+        return [-1 if any(x.search(p or "") for x in _ASKED.values()) else int(k) for p, k in zip(prompts, found)]
 
-    counted = sample.mapInArrow(count, "language bigint, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    model = np.full((len(LANGUAGES), BUCKETS), 0.1)
-    model[counted["language"].to_numpy(), counted["bucket"].to_numpy()] += counted["n"].to_numpy()
-    return np.log(model / model.sum(1, keepdims=True))
+    ids = calls.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_CALLS)
+    pairs = calls.select("id", "prompt", "response").join(F.broadcast(ids), "id").select("prompt", "response")
+    return _model(counts + _counted(pairs, judge))
 
 
 def is_empty(response: str | None) -> bool:
@@ -198,13 +233,17 @@ def _declines(sentence: str) -> bool:
 
 
 def _no_answer(response: str, prompt: str) -> list[str]:
-    """The sentences of a response, none if one of them names something of the code and is no declining one itself."""
+    """The sentences of a response, none if one of them answers: it is no declining one itself, and names something of the code or shares ``SHARED`` words of content with the prompt."""
     text = _unfenced(response, prompt)
     if text is None:
         return []
-    sentences = _SENTENCE_END.split(_QUOTED.sub(" “” ", text))
+    sentences, asked = _SENTENCE_END.split(_QUOTED.sub(" “” ", text)), None
     for sentence in sentences:
-        if (_NAMES.search(sentence) or len(sentence.split()) > 18) and not _declines(sentence):
+        named = _NAMES.search(sentence) is not None
+        if not named and len(sentence) > 5 * SHARED:  # a shorter one can't have so many such words
+            asked = set(_words(prompt).split()) if asked is None else asked
+            named = len({w for w in _words(sentence).split() if len(w) > 4} & asked) >= SHARED
+        if named and not _declines(sentence):
             return []
     return sentences
 
@@ -244,13 +283,13 @@ def is_copy(prompt: str, response: str) -> bool:
     said = response
     for _ in range(2):
         said = _LABEL.sub("", said)
+    if m := _WHOLE_QUOTE.match(said):
+        said = m[1]
     # an exact repetition is one at any length; most differ in the first word
     first, other = _TOKENS.search(said), _TOKENS.search(prompt)
-    if first and other and first[0].lower() == other[0].lower() and [w.lower() for w in _TOKENS.findall(said)] == [w.lower() for w in _TOKENS.findall(prompt)]:
-        return True
-    if len(response) > 1.3 * len(prompt) + 60:
-        return False
     words = [w.lower() for w in _TOKENS.findall(said)]
+    if first and other and first[0].lower() == other[0].lower() and words == [w.lower() for w in _TOKENS.findall(prompt)]:
+        return True
     if len(words) < 5:
         return False
     asked = [w.lower() for w in _TOKENS.findall(prompt)]
@@ -325,7 +364,7 @@ def broken_pairs(calls: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, defect), one row for each defect of a call; see ``pair_defects`` and ``truncated_values``."""
     responses = calls.select(F.lit("llm_call_metrics").alias("table_name"), F.col("id").cast("bigint").alias("id"), F.lit("response").alias("field_name"), F.col("response").alias("text"))
     truncated = truncated_values(responses).select("id", F.lit("truncated").alias("defect"))
-    return pair_defects(calls, fit_languages(documents)).unionByName(truncated).distinct()
+    return pair_defects(calls, fit_languages(documents, calls)).unionByName(truncated).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -35,6 +35,8 @@ MIN_WORD = 3
 #: A word is out of place if it stands there in less than this share of what would be expected there.
 RARE = 0.02
 
+#: Endings in a sign are spread over so many tasks.
+SALTS = 16
 #: Equal texts of up to so many characters in different rows are one message, whole as often as it is given: each row counts.
 MESSAGE = 200
 
@@ -44,10 +46,10 @@ _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _WIDE = rf"[\p{{L}}\p{{M}}\p{{N}}_$\x{{e000}}&&[^{_CJK}]]"
 #: words (those in plain letters first, which is faster), single characters of scripts without blanks, and signs
 _TOKEN = rf"[A-Za-z0-9_$\x{{e000}}]++{_WIDE}*+|{_WIDE}++|[^\s\p{{M}}]"
-_MARK = (
-    r"(?i)(?:…|\.\.\.|[\[(<{](?:…|\.\.\.)[\])>}]"
-    r"|[\[(<{][^\])>}\n]{0,40}\b(?:truncated|clipped|cut|cut off|omitted|snip|snipped|abbreviated|shortened|chars?|characters|bytes|more lines|more tokens)\b[^\])>}\n]{0,40}[\])>}])\s*\z"
-)
+#: the last line ends with an ellipsis, or with a bracket; ``_CUT`` are words that such a bracket has if something was cut off
+_ELLIPSIS = r"(?:…|\.\.\.|[\[(<{](?:…|\.\.\.)[\])>}])\s*\z"
+_LAST_BRACKET = r"[\[(<{]([^\[(<{\])>}]*)[\])>}]\s*\z"
+_CUT = r"(?i)\b(?:truncated|clipped|cut|cut off|omitted|snip|snipped|abbreviated|shortened|chars?|characters|bytes|more lines|more tokens)\b"
 #: matched strings, character literals and comments of code
 _CLOSED = r"""\"{3}[\s\S]*?\"{3}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?:\\.|[^'\\\n])'|/\*[\s\S]*?\*/|(?<!:)//[^\n]*"""
 
@@ -127,8 +129,17 @@ def open_structure(rows: DataFrame) -> DataFrame:
     return rows.withColumn("open", (some & reduce(lambda a, b: a | b, tests[: len(_BRACKETS) + 1])) | reduce(lambda a, b: a | b, tests[len(_BRACKETS) + 1 :])).drop("_signs", "_last")
 
 
+def marked(line: Column) -> Column:
+    """Does a last line end with a mark that says that more followed?"""
+    return line.rlike(_ELLIPSIS) | F.regexp_extract(line, _LAST_BRACKET, 1).rlike(_CUT)
+
+
 def _verdicts(ends: DataFrame, counts: DataFrame) -> DataFrame:
-    """The endings (kind, head, w1, w2, w3) which show that something is lost."""
+    """(kind, head, w1, w2, w3, rare, within) of the endings which show that something is lost: by a trigram or context that is hardly ever
+    terminal, or by a word that is only the beginning of those in its place.
+
+    Words and signs go separate ways: there are few signs, and all endings with one would meet in one task.
+    """
     plain = counts.withColumn("p3", _plain(F.col("w3")))
 
     def level(*keys: str) -> DataFrame:
@@ -139,13 +150,20 @@ def _verdicts(ends: DataFrame, counts: DataFrame) -> DataFrame:
     ratio = F.lit(None).cast("double")
     stop = F.col("p3").isin(*_STOPS)
     for keys in (("head", "p3"), ("w2", "p3"), ("head", "w2", "p3"), ("head", "w1", "w2", "p3")):
-        known = known.join(level(*keys), ["kind", *keys], "left")
+        own = level(*keys)
+        if keys == ("head", "p3"):  # a full stop alone shows nothing; other single signs are spread
+            salt = F.pmod(F.xxhash64("w1", "w2"), F.lit(SALTS)).cast("int")
+            own = own.filter(~stop).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(word, 0).otherwise(SALTS - 1))))
+            known = known.withColumn("_salt", F.when(word, 0).otherwise(salt)).join(own, ["kind", *keys, "_salt"], "left").drop("_salt")
+        else:
+            known = known.join(own, ["kind", *keys], "left")
         seen = F.col("i") + F.col("l") + F.col("e") - 1
         terminal = F.col("e") - 1 + F.when(word, F.col("l")).otherwise(0)
-        enough = (seen >= MIN_SEEN) if "w2" in keys else (seen >= MIN_SEEN) & ~stop  # a full stop alone shows nothing
-        known = known.withColumn("_r", F.when(enough, terminal / seen)).drop("i", "l", "e")
+        known = known.withColumn("_r", F.when(seen >= MIN_SEEN, terminal / seen)).drop("i", "l", "e")
         known = known.withColumn("ratio", F.coalesce("_r", ratio)).drop("_r")
         ratio = F.col("ratio")
+    rare = F.coalesce(F.col("ratio") < MAX_TERMINAL, F.lit(False))
+    known = checkpointed(known.withColumn("rare", rare).drop("p3", "ratio"))
 
     # cut within a word: known words (or parts of identifiers) begin with it in its place, and it is hardly ever there itself
     body = F.substring_index("w3", _PART, -1)  # a whole word, or the last part of an identifier
@@ -163,8 +181,9 @@ def _verdicts(ends: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("w3").startswith("Xx" + _PART), F.col("inner"))).alias("upper"),
         F.sum(F.when(F.col("w3").startswith("xX" + _PART), F.col("inner"))).alias("lower"),
     )
-    known = (
-        known.withColumn("body", body)
+    wordly = F.col("w3").rlike(r"^[\p{L}\p{N}_$\x{e000}]")
+    words_only = (
+        known.filter(wordly).withColumn("body", body)
         .join(words, ["kind", "w3"], "left")
         .join(in_place, ["kind", "w2", "w3"], "left")
         .join(parts, ["kind", "body"], "left")
@@ -181,16 +200,18 @@ def _verdicts(ends: DataFrame, counts: DataFrame) -> DataFrame:
     unfit_part = outweighs("any_starts", "own") | (F.col("w3").startswith("Xx") & outweighs("as_part", "own"))
     first_part = F.when(F.col("w3").rlike(r"^[A-Z][a-z]*$"), outweighs("upper", "own_here")).when(F.col("w3").rlike(r"^[a-z]+$"), outweighs("lower", "own_here"))
     within = F.when(identifier, unfit_part).when(F.col("w3").rlike(r"^\p{L}"), outweighs("starts", "own_here") | F.coalesce(first_part, F.lit(False))).otherwise(False)
-    rare_end = F.coalesce(F.col("ratio") < MAX_TERMINAL, F.lit(False))
-    return known.filter(rare_end | within).select("kind", "head", "w1", "w2", "w3")
+    told = words_only.withColumn("within", F.coalesce(within, F.lit(False))).unionByName(known.filter(~wordly).withColumn("within", F.lit(False)), allowMissingColumns=True)
+    return told.filter("rare or within").select("kind", "head", "w1", "w2", "w3", "rare", "within")
 
 
-def truncated_values(values: DataFrame) -> DataFrame:
-    """The values whose end was lost: table_name, id, field_name, once each.
+def truncation_verdicts(values: DataFrame) -> DataFrame:
+    """table_name, id, field_name, rare, within, shown: the values whose end was lost, once each, and what shows it.
 
-    ``values``: table_name, id, field_name, text; other columns are ignored, rows may be repeated. Null and blank
-    texts are no cases. Texts of any length are read whole. Where almost nothing is known (few rows), only open
-    structures and marks decide. An empty table gives an empty result.
+    Every value goes through the verdict on its final trigram (``rare``) and on its last word (``within``); ``shown`` are open
+    structures and marks. ``values``: table_name, id, field_name, text; other columns are ignored, rows may be repeated. Null and
+    blank texts are no cases. Texts of any length are read whole. Where almost nothing is known (few rows), only open
+    structures and marks decide; so too for a value of a single word or sign (``null``, ``-``), which has nothing around it to
+    tell by. An empty table gives an empty result.
     """
     rows = values.select("table_name", "id", "field_name", F.col("field_name").alias("kind"), "text").filter(F.btrim("text", F.lit(" \t\r\n")) != "")
     counts = checkpointed(trigram_counts(rows))
@@ -200,21 +221,25 @@ def truncated_values(values: DataFrame) -> DataFrame:
     whose = F.when(F.length(body) > MESSAGE, F.xxhash64("field_name", body)).otherwise(F.xxhash64("table_name", "id", "field_name"))
     ends = (
         open_structure(rows)
-        .withColumn("shown", F.col("open") | F.right(F.rtrim(F.col("text"), F.lit(" \t\r\n")), F.lit(120)).rlike(_MARK))
+        .withColumn("shown", F.col("open") | marked(F.substring_index(F.rtrim("text", F.lit(" \t\r\n")), "\n", -1)))
         .withColumn("line", _abstract(F.substring_index(F.rtrim("text", F.lit(" \t\r\n")), "\n", -1)))
-        .select("table_name", "id", "field_name", "kind", "shown", whose.alias("whose"), _head(F.col("line")).alias("head"), _tokens(F.col("line")).alias("t"))
+        .select("table_name", "id", "field_name", "kind", "shown", whose.alias("whose"), _head(F.col("line")).alias("head"), _tokens(F.col("line")).alias("t"), (~body.rlike(r"\s")).alias("single"))
         .select(
             "table_name", "id", "field_name", "kind", "head", "shown", "whose",
-            _plain(F.try_element_at(t, F.lit(-3))).alias("w1"), _plain(F.try_element_at(t, F.lit(-2))).alias("w2"), F.try_element_at(t, F.lit(-1)).alias("w3"),
+            _plain(F.try_element_at(t, F.lit(-3))).alias("w1"), _plain(F.try_element_at(t, F.lit(-2))).alias("w2"), F.try_element_at(t, F.lit(-1)).alias("w3"), (F.col("single") & (F.size("t") <= 3)).alias("single"),
         )
     )
     ends = checkpointed(ends).filter("shown or w1 is not null")
     keys = ["kind", "head", "w1", "w2", "w3"]
     counts = counts.withColumn("at_end", F.lit(0).cast("bigint")).unionByName(checkpointed(end_counts(ends)), allowMissingColumns=True).fillna(0, ["inner", "at_line_end"])
-    lost = _verdicts(ends.filter("not shown").select(keys).distinct(), counts)
-    shown = ends.filter("shown").select("table_name", "id", "field_name")
-    told = ends.filter("not shown").join(lost, keys, "left_semi").select("table_name", "id", "field_name")
-    return shown.unionByName(told).distinct()
+    lost = _verdicts(ends.filter("w1 is not null and not single").select(keys).distinct(), counts)
+    told = ends.join(lost.withColumn("single", F.lit(False)), [*keys, "single"], "left").select("table_name", "id", "field_name", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("rare", "within", "shown")))
+    return told.filter("rare or within or shown").groupBy("table_name", "id", "field_name").agg(*(F.bool_or(c).alias(c) for c in ("rare", "within", "shown")))
+
+
+def truncated_values(values: DataFrame) -> DataFrame:
+    """table_name, id and field_name of the values whose end was lost, see ``truncation_verdicts``."""
+    return truncation_verdicts(values).select("table_name", "id", "field_name")
 
 
 FIELDS = (("llm_call_metrics", "error_message"), ("llm_call_metrics", "response"), ("agent_executions", "error_message"))

@@ -98,3 +98,23 @@ def test_refusal_by_what_many_prompts_get(spark, data):
     rows = [(i, q, said[0], True) for i, q in enumerate(ask)] + [(10 + i, q, said[1], True) for i, q in enumerate(ask[:2])] + [(20, ask[0], "Sorry, nobody knows.", True)] * 5
     calls = spark.createDataFrame(rows, "id bigint, prompt string, response string, success boolean")
     assert sorted({(r.id, r.defect) for r in p.pair_defects(calls, model).collect()}) == [(i, "refusal") for i in range(4)]
+
+
+def test_nothing_depends_on_length():
+    """Size is no criterion: long blanks, a refusal of many sentences, and a prompt that is said twice or quoted."""
+    asked = "Why does the nightly job fail when the ledger is empty?"
+    assert all(p.is_empty(c * 300) for c in (" ", "-", "\u200b\n", "<p></p>", "()"))
+    long = " ".join(["I'm sorry, but I cannot help with this request."] * 20)
+    assert len(long) > 900 and p.is_refusal(long, asked)
+    assert not p.is_refusal(long + " The nightly job fails because the empty ledger is read before it is filled.", asked)
+    for copy in (asked + "\n" + asked, f'You asked: “{asked}”', f'"{asked}"', " ".join([asked] * 30), "Hi?"):
+        assert p.is_copy(asked if copy != "Hi?" else "hi?", copy), copy
+    assert not p.is_copy(asked, "The job reads the ledger first.")
+
+
+def test_prompts_teach_the_model(spark):
+    """Prompts of a kind that no document has are learnt from their pairs."""
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("El libro mayor está vacío y el proceso termina con un error", "es"), ("Il registro è vuoto e il processo finisce con un errore nel sistema", "it")] * 20)]
+    pairs = [(i, "Descrivi brevemente come collabora con", "Il registro è vuoto e il processo finisce con un errore nel sistema", True) for i in range(30)]
+    documents, calls = spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(pairs, "id bigint, prompt string, response string, success boolean")
+    assert p.pair_defects(calls, p.fit_languages(documents, calls)).filter("defect = 'language'").count() == 0

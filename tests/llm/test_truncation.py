@@ -56,3 +56,11 @@ def test_repeated_rows_and_long_copies_are_no_evidence_for_their_own_ends(spark)
     assert found(spark, rows + [row(i, long_) for i in range(4000, 4300)]) == set(range(4000, 4300))
     # a short message that many rows share is whole
     assert not found(spark, rows + [row(i, "The planner treats the batch as final") for i in range(5000, 5300)])
+
+
+def test_single_words_and_marks_of_any_length(spark):
+    row = lambda i, text: ("llm_call_metrics", i, "response", "agent0", text, 0)
+    whole = {6001: "null", 6002: "None", 6003: "-", 6004: "Every"}
+    cut = {7001: "Every call locks the row " + "x" * 300 + " [" + "y" * 200 + " 12 more lines " + "z" * 200 + "]", 7002: "Every call locks the row (truncated)"}
+    got = found(spark, corpus(600) + [row(i, t) for i, t in (whole | cut).items()])
+    assert got >= set(cut) and not got & set(whole)
