@@ -25,17 +25,18 @@ _KIND = set(
     "ctor getter setter accessor mutator procedure routine operation member implementation implements creates create creating constructs construct "
     "instantiates instantiate initializes initialises new default empty public private protected static instance object class interface enum record "
     "parameter parameters param params argument arguments arg args return returns returned result get gets set sets does performs perform executes "
-    "given specified name named called without any no takes konstruktor constructeur construtor methode méthode método función funktion fonction função конструктор метод".split()
+    "given specified name named called used uses using without any no takes konstruktor constructeur construtor methode méthode método función funktion fonction função конструктор метод".split()
 )
 #: placeholders, templates and to-do notes: at least one word of the second set, and none outside of both
 _FILLER = set("a an the this that of for to be here in is it no not yet none and or by with add insert put write enter fill give your some please later soon needed "
-              "need needs method function class constructor member text goes comes auto automatically was has have file use change settings templates method's".split())
+              "need needs method function class constructor member text goes comes auto automatically was has have file use change settings templates method's "
+              "replace its what does do code parameter parameters are which goes".split())
 _PLACEHOLDER = set("todo fixme tbd xxx tba na nothing comment comments description descriptions describe documentation document documented documents doc docs javadoc javadocs "
                    "nonjavadoc missing generated template stub placeholder undocumented pending lorem ipsum dummy".split())
 #: pointers to documentation elsewhere
 _POINTER = set("see also refer refers same as in described documented inherited inherits inherit from overrides overridden cf copied defined specified the of for to at on and or super superclass "
                "supertype parent base interface class method methods documentation docs doc javadoc description comment contract specification spec details detail more information info "
-               "declaration declared there elsewhere above below page wiki handbook section link links please its it is this that by overriding implemented here".split())
+               "declaration declared a an all full complete further there elsewhere above below page wiki handbook section link links please its it is this that by overriding implemented here".split())
 _POINTING = set("see refer refers same described documented inherited inherits inherit overrides overridden cf copied defined specified".split())
 
 _TODO_WORD = re.compile(r"\W*(?:TODO|FIXME|XXX|TBD)\b|\W*(?:todo|fixme|xxx|tbd|to-do)\s*(?:[:(\[\-]|\W*$)", re.IGNORECASE)
@@ -105,7 +106,7 @@ def trivial(text: str, name: str, params: tuple[str, ...], owner: str) -> bool:
     return all(says(w) for w in [*words, *linked])
 
 
-_SCHEMA = "table_name string, id string, method_name string, start_line int, code string, description string"
+_SCHEMA = "table_name string, id string, place bigint, method_name string, start_line int, code string, description string"
 
 
 def documented_functions(sources: DataFrame) -> DataFrame:
@@ -132,13 +133,14 @@ def documented_functions(sources: DataFrame) -> DataFrame:
                         continue
                     text = description(comment)
                     if not trivial(text, m.name, m.params, m.owner or (owner or "").rpartition(".")[2]):
-                        out.append((t, i, m.name, m.line, source[m.start : m.end], text))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["table_name", "id", "method_name", "start_line", "code", "description"])
-
-    once = sources.select("table_name", "id", "source_code", "javadoc", "owner", "single").dropDuplicates(["table_name", "id"])
-    return once.mapInArrow(run, _SCHEMA)
+                        out.append((t, i, m.start, m.name, m.line, source[m.start : m.end], text))
+            columns = list(zip(*out)) or [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["table_name", "id", "place", "method_name", "start_line", "code", "description"])
+
+    found = sources.select("table_name", "id", "source_code", "javadoc", "owner", "single").mapInArrow(run, _SCHEMA)
+    # repeated rows are alike: what is found in them is made unique, and no source is shuffled
+    return found.dropDuplicates(["table_name", "id", "place"]).drop("place")
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:

@@ -31,29 +31,44 @@ class _Open(NamedTuple):
     name: str
 
 
-def _header(tokens: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], bool]:
-    """The header without its annotations; was there an annotation type?"""
+def _annotation_end(tokens: list[tuple[str, int]], i: int) -> int:
+    """The index after the annotation that begins at ``i``."""
+    i += 2
+    while i + 1 < len(tokens) and tokens[i][0] == ".":
+        i += 2
+    if i < len(tokens) and tokens[i][0] == "(":
+        depth = 0
+        while i < len(tokens):
+            depth += {"(": 1, ")": -1}.get(tokens[i][0], 0)
+            i += 1
+            if not depth:
+                break
+    return i
+
+
+def _is_annotation(tokens: list[tuple[str, int]], i: int) -> bool:
+    return tokens[i][0] == "@" and i + 1 < len(tokens) and tokens[i + 1][0] != "interface"
+
+
+def _header(tokens: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The header without its annotations; an annotation type's ``@`` goes, too."""
     out, i = [], 0
     while i < len(tokens):
-        if tokens[i][0] == "@" and i + 1 < len(tokens):
-            if tokens[i + 1][0] == "interface":
-                out.append(("interface", tokens[i + 1][1]))
-                i += 2
-                continue
-            i += 2
-            while i + 1 < len(tokens) and tokens[i][0] == ".":
-                i += 2
-            if i < len(tokens) and tokens[i][0] == "(":
-                depth = 0
-                while i < len(tokens):
-                    depth += {"(": 1, ")": -1}.get(tokens[i][0], 0)
-                    i += 1
-                    if not depth:
-                        break
-            continue
-        out.append(tokens[i])
-        i += 1
-    return out, False
+        if _is_annotation(tokens, i):
+            i = _annotation_end(tokens, i)
+        else:
+            if tokens[i][0] != "@" or i + 1 == len(tokens):
+                out.append(tokens[i])
+            i += 1
+    return out
+
+
+def _only_annotations(tokens: list[tuple[str, int]], done: int) -> tuple[bool, int]:
+    """Are there only annotations, and up to which index is that settled? Up to ``done`` it is known, so that each token is looked at about once."""
+    i = done
+    while i < len(tokens) and _is_annotation(tokens, i):
+        done, i = i, _annotation_end(tokens, i)
+    return i >= len(tokens), done
 
 
 def _params(tokens: list[tuple[str, int]]) -> tuple[str, ...]:
@@ -82,6 +97,7 @@ def members(source: str, in_type: bool = False) -> tuple[list[Member], bool]:
     stack: list[_Open] = [_Open("type", "")] if in_type else []
     header: list[tuple[str, int]] = []
     doc, any_doc, constants, paren, pos = None, False, False, 0, 0
+    settled, line, counted = 0, 1, 0  # of the header; of the newlines up to an offset
     n = len(source)
 
     def body_end(at: int) -> tuple[int, bool]:
@@ -105,17 +121,17 @@ def members(source: str, in_type: bool = False) -> tuple[list[Member], bool]:
         if m.lastgroup == "skip":
             if text.startswith("/**") and len(text) > 4:
                 any_doc = True
-                if not paren and not _header(header)[0]:
-                    doc = text
-            elif text.startswith("/*") and not paren and not _header(header)[0]:
-                doc = None  # another kind of comment stands between
+            if not paren and text.startswith("/*"):
+                only, settled = _only_annotations(header, settled)
+                if only:
+                    doc = text if text.startswith("/**") and len(text) > 4 else None  # another kind of comment stands between
             continue
         if text == "(":
             paren += 1
         elif text == ")":
             paren = max(0, paren - 1)
         if text == "{" and not paren:
-            tokens, _ = _header(header)
+            tokens = _header(header)
             words = [t for t, _ in tokens]
             first = words.index("(") if "(" in words else len(words)
             kind = next((i for i, w in enumerate(words[: first + 1]) if w in _TYPE_WORDS and i + 1 < len(words) and (i + 1 < first or w != "record") and re.match(r"[^\W\d]|\$", words[i + 1])), None)
@@ -138,23 +154,24 @@ def members(source: str, in_type: bool = False) -> tuple[list[Member], bool]:
                         break
                 end, closed = body_end(pos)
                 name, offset = tokens[at]
-                found.append(Member(name, source.count("\n", 0, offset) + 1, header[0][1], end, _params(tokens[first + 1 : close]), stack[-1].name, doc, closed))
+                line, counted = line + source.count("\n", counted, offset), offset  # members come in their order
+                found.append(Member(name, line, header[0][1], end, _params(tokens[first + 1 : close]), stack[-1].name, doc, closed))
                 pos = end
             else:
                 pos, _ = body_end(pos)
                 if equals:
                     header.append(("=", pos))  # the declaration goes on to its semicolon
                     continue
-            header, doc, paren = [], None, 0
+            header, doc, paren, settled = [], None, 0, 0
         elif text == "}" and not paren:
             if len(stack) > in_type:
                 left = stack.pop()
                 constants = bool(stack) and stack[-1].kind == "enum" and left.kind == "type" and left.name.isupper()
-            header, doc = [], None
+            header, doc, settled = [], None, 0
         elif text == ";" and not paren:
-            header, doc, constants = [], None, False
+            header, doc, constants, settled = [], None, False, 0
         elif text == "," and not paren and constants and stack and stack[-1].kind == "enum":
-            header, doc = [], None
+            header, doc, settled = [], None, 0
         else:
             header.append((text, m.start()))
     return found, any_doc

@@ -96,3 +96,25 @@ def test_rows(spark):
     got = sorted((r.table_name, r.id or "", r.method_name, r.start_line, r.description) for r in documented_functions(spark.createDataFrame(rows, schema)).collect())
     assert got == [("methods", "", "h", 1, "Never blocks."), ("methods", "a", "f", 1, "Never blocks."), ("methods", "b", "g", 3, "Runs\nlate.")]
     assert documented_functions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_more_that_says_nothing():
+    for text in ("See the documentation in {@link PaymentStore#load} for all details.", "Please see the documentation of the interface for a description of this method.",
+                 "This is a template comment, replace this text with a description\nof what the code does and of its parameters.", "This method is used to build the ticket parcel, that is, it builds the ticket parcel."):
+        assert trivial(text, "buildTicketParcel", (), "Store"), text
+    for text in ("Uses the audit trail as described in QM-1.", "This method is used to build the ticket parcel without a lock on the store."):
+        assert not trivial(text, "buildTicketParcel", (), "Carrier"), text
+
+
+def test_time_is_linear():
+    import time
+
+    def took(n):
+        source = "class A {\n" + "/** Says something new. */ /* x */ @Deprecated\n /** Blocks the caller. */ int f(@Nullable /* y */ String a) { return 1; }\n" * n + "@A /* c */ " * n + "void g() {} }"
+        began = time.process_time()
+        found, _ = members(source)
+        assert len(found) == n + 1 and found[n - 1].line == 2 * n + 1
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 8 * took(2000) + 0.2
