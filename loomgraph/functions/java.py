@@ -58,9 +58,9 @@ def member(text: Column, first_of_enum: Column) -> Column:
     before = F.when(callable_, F.regexp_replace(declared, r"[\w$]+\s*\([\s\S]*$", "")).otherwise(F.regexp_replace(declared, r"[\w$]+((?:\s*\[\])*)$", "$1"))
     type_ = F.trim(F.regexp_replace(F.regexp_replace(before, MODIFIERS, ""), TYPE_PARAMETERS, ""))
     kind = (
-        F.when(first_of_enum, "CONSTANTS").when(is_type, "TYPE").when(callable_ & (type_ == ""), "CONSTRUCTOR").when(callable_, "METHOD").when((type_ != "") & ~type_.rlike(r"^(?:static|import|package)$"), "FIELD")
+        F.when(~declared.rlike(r"^[\w<$]"), None).when(first_of_enum, "CONSTANTS").when(is_type, "TYPE").when(callable_ & (type_ == ""), "CONSTRUCTOR").when(callable_, "METHOD").when((type_ != "") & ~type_.rlike(r"^(?:static|import|package)$"), "FIELD")
     )
-    return F.struct(kind.alias("kind"), name.alias("name"), F.when(kind.isin("METHOD", "FIELD"), type_).otherwise("").alias("type"), text.endswith("#").alias("has_body"))
+    return F.struct(kind.alias("kind"), name.alias("name"), F.when(kind.isin("METHOD", "FIELD"), type_).otherwise("").alias("type"), (text.endswith("#") & kind.isin("METHOD", "CONSTRUCTOR", "TYPE")).alias("has_body"))
 
 
 def parameter_types(text: Column) -> Column:

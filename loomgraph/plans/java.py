@@ -46,9 +46,9 @@ decl AS (SELECT *, l[place + 1] AS text, lower(class_type) = 'enum' AND place =
 heads AS (SELECT *, trim(split_part(rtrim(regexp_replace(text, '\\s*#$', '')), '=', 1)) AS declared FROM decl),
 parts AS (SELECT *, contains(declared, '(') AS callable, (regexp_matches(declared, {_text(j.IS_TYPE)}) AND NOT contains(declared, '(')) OR regexp_matches(declared, '(?:^|\\s)record\\s+\\w+\\s*[(<]') AS is_type,
   CASE WHEN contains(declared, '(') THEN regexp_replace(declared, '[\\w$]+\\s*\\([\\s\\S]*$', '') ELSE regexp_replace(declared, '[\\w$]+((?:\\s*\\[\\])*)$', '\\1') END AS before FROM heads),
-kinds AS (SELECT *, CASE WHEN first THEN 'CONSTANTS' WHEN is_type THEN 'TYPE' WHEN callable AND {_TYPE} = '' THEN 'CONSTRUCTOR' WHEN callable THEN 'METHOD' WHEN {_TYPE} NOT IN ('', 'static', 'import', 'package') THEN 'FIELD' END AS kind,
+kinds AS (SELECT *, CASE WHEN NOT regexp_matches(declared, '^[\\w<$]') THEN NULL WHEN first THEN 'CONSTANTS' WHEN is_type THEN 'TYPE' WHEN callable AND {_TYPE} = '' THEN 'CONSTRUCTOR' WHEN callable THEN 'METHOD' WHEN {_TYPE} NOT IN ('', 'static', 'import', 'package') THEN 'FIELD' END AS kind,
   CASE WHEN is_type THEN regexp_extract(declared, '(?:class|interface|enum|record)\\s+(\\w+)', 1) WHEN callable THEN regexp_extract(declared, '([\\w$]+)\\s*\\(', 1) ELSE regexp_extract(declared, '([\\w$]+)(?:\\s*\\[\\])*$', 1) END AS name FROM parts),
-ent AS (SELECT id AS class_id, place, kind, name, CASE WHEN kind IN ('METHOD', 'FIELD') THEN {_TYPE} ELSE '' END AS type, text LIKE '%#' AS has_body, text, fully_qualified_name, package_name, imports FROM kinds WHERE kind IS NOT NULL AND name <> ''),
+ent AS (SELECT id AS class_id, place, kind, name, CASE WHEN kind IN ('METHOD', 'FIELD') THEN {_TYPE} ELSE '' END AS type, text LIKE '%#' AND kind IN ('METHOD', 'CONSTRUCTOR', 'TYPE') AS has_body, text, fully_qualified_name, package_name, imports FROM kinds WHERE kind IS NOT NULL AND name <> ''),
 rel AS (SELECT DISTINCT * FROM (SELECT class_id AS source_id, 'HAS_' || kind AS kind, name AS target FROM ent WHERE kind IN ('METHOD', 'FIELD', 'CONSTRUCTOR')
   UNION ALL SELECT class_id, 'TYPE_DEPENDENCY', {_ELEMENT.format("type")} FROM ent WHERE kind = 'FIELD'
   UNION ALL SELECT id, 'EXTENDS', unnest({_SUPER.format("extends")}) FROM code UNION ALL SELECT id, 'IMPLEMENTS', unnest({_SUPER.format("implements")}) FROM code
