@@ -23,12 +23,9 @@ def query(sql: str):
     return add
 
 
-#: The repositories of the graph are the kinds of its nodes here, so that there are several to be replaced.
-_REPO = F.element_at(F.split("node_id", ":"), 1)
-
-
 def _nodes(spark, d):
-    return graph.nodes(spark, d).select("node_id", _REPO.alias("repo"), "simple_name")
+    """The repositories of the graph are the kinds of its nodes here, so that there are several to be replaced."""
+    return graph.nodes(spark, d).select("node_id", F.element_at(F.split("node_id", ":"), 1).alias("repo"), "simple_name")
 
 
 def _edges(spark, d):

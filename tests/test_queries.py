@@ -24,3 +24,14 @@ def test_core_does_not_need_the_llm_package():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "loomgraph.llm" not in f.read_text(), f
+
+
+def test_entry_needs_no_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(registry.__file__).parents[2]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-800:]
