@@ -50,13 +50,13 @@ _TOKEN = rf"[A-Za-z0-9_$\x{{e000}}]++{_WIDE}*+|{_WIDE}++|[^\s\p{{M}}]"
 _ELLIPSIS = r"(?:…|\.\.\.|[\[(<{](?:…|\.\.\.)[\])>}])\s*\z"
 _LAST_BRACKET = r"[\[(<{]([^\[(<{\])>}]*)[\])>}]\s*\z"
 _CUT = r"(?i)\b(?:truncated|clipped|cut|cut off|omitted|snip|snipped|abbreviated|shortened|chars?|characters|bytes|more lines|more tokens)\b"
-#: matched strings, character literals and comments of code
-_CLOSED = r"""\"{3}[\s\S]*?\"{3}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?:\\.|[^'\\\n])'|/\*[\s\S]*?\*/|(?<!:)//[^\n]*"""
+#: matched strings, character literals and comments of code (what none of them begins with is passed over at once)
+_CLOSED = r"""(?=["'/])(?:\"{3}[\s\S]*?\"{3}|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'(?:\\.|[^'\\\n])'|/\*[\s\S]*?\*/|(?<!:)//[^\n]*)"""
 
 
 def _abstract(text: Column) -> Column:
     # possessive quantifiers throughout: a word that is no identifier is given up at once
-    text = F.regexp_replace(text, r"\b[A-Z][a-z0-9_$]++(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b", f"Xx{_PART}$1")
+    text = F.regexp_replace(text, r"(?=[A-Z])\b[A-Z][a-z0-9_$]++(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b", f"Xx{_PART}$1")
     text = F.regexp_replace(text, r"\b[a-z][a-z0-9_$]*+(?:[A-Z][a-z0-9_$]*+)*([A-Z][a-z]*+)\d*+\b(?!\x{e000})", f"xX{_PART}$1")
     return F.regexp_replace(text, r"\b[A-Za-z_$]*+\d[\w$]*+", "0")
 
@@ -130,8 +130,9 @@ def open_structure(rows: DataFrame) -> DataFrame:
 
 
 def marked(line: Column) -> Column:
-    """Does a last line end with a mark that says that more followed?"""
-    return line.rlike(_ELLIPSIS) | F.regexp_extract(line, _LAST_BRACKET, 1).rlike(_CUT)
+    """Does a last line (without blanks at its end) end with a mark that says that more followed?"""
+    bracket = F.when(F.right(line, F.lit(1)).isin("]", ")", ">", "}"), F.regexp_extract(line, _LAST_BRACKET, 1).rlike(_CUT))
+    return F.right(line, F.lit(5)).rlike(_ELLIPSIS) | F.coalesce(bracket, F.lit(False))  # no ellipsis is longer than five characters
 
 
 def _verdicts(ends: DataFrame, counts: DataFrame) -> DataFrame:
