@@ -215,3 +215,13 @@ def relationship_explanation(spark, d):
     named = _nodes(spark, d).select(F.col("id").alias("target_id"), F.col("name").alias("target"))
     edges = o.relationships(c).filter(F.col("kind").isin("TYPE_DEPENDENCY", "EXTENDS", "IMPLEMENTS")).join(named, "target").select("source_id", "target_id", "kind", F.lit("java").alias("repo"))
     return g.relationships(checkpointed(edges), checkpointed(asked))
+
+
+@query("""SELECT id AS node_id, 'CLASS' AS node_type, name AS simple_name, package_name, NULL AS parent_node_id FROM (SELECT DISTINCT id, name, package_name FROM src) s
+ UNION ALL SELECT concat_ws('.', class_id, CASE WHEN kind = 'FIELD' THEN name || '_field' ELSE name END, CAST(place AS VARCHAR)), kind, name, package_name, class_id FROM ent WHERE kind IN ('METHOD', 'FIELD', 'CONSTRUCTOR')""")
+def chunks_to_nodes(spark, d):
+    """Chunks as nodes of the graph, with the package of their type."""
+    c = _classes(spark, d)
+    packages = c.select(F.col("id").alias("_id"), "package_name").distinct()
+    rows = o.chunks(c).join(packages, F.coalesce("parent_id", "chunk_id") == F.col("_id"))
+    return rows.select(F.col("chunk_id").alias("node_id"), F.col("chunk_type").alias("node_type"), F.col("name").alias("simple_name"), "package_name", F.col("parent_id").alias("parent_node_id"))
