@@ -19,6 +19,7 @@ def tokenize_query(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
+# 3, 2 and 1 points, and .5 without keywords.
 def keyword_score(keywords: list[str], name: Column, fqn: Column, source: Column) -> Column:
     """Each keyword counts 3 in the name, else 2 in the full name, else 1 in the source; as a share of the most possible. .5 without keywords."""
     if not keywords:
@@ -28,6 +29,7 @@ def keyword_score(keywords: list[str], name: Column, fqn: Column, source: Column
     return F.least(F.lit(1.0), points / (3.0 * len(keywords)))
 
 
+# The words that tell the mode.
 def search_mode(query: Column) -> Column:
     """STRUCTURAL, TEMPORAL or SEMANTIC by the words of a query; the first rule that fits holds."""
     low = F.lower(query)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Runs never span more than ``2**BLOCK_BITS`` consecutive keys, which also bounds a run's array of times.
 BLOCK_BITS = 8
-#: Copies of each suspect key, among which the rows of one key are spread.
+#: Copies of each suspect key, among which the rows of one key are spread, unless the caller asks for more.
 SALTS = 8
 
 
@@ -78,7 +78,7 @@ def match_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
     return both.select("_own.*", inside.alias("found"), F.when(inside, F.get(F.col("_at.times"), offset)).alias("parent_time"))
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, deletions: DataFrame) -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, deletions: DataFrame, salts: int = SALTS) -> DataFrame:
     """Rows whose reference has no record to refer to, or one that came later than the row.
 
     ``references``: table_name, row_key, ref_table, ref_key, ref_time. ``parents``: ref_table, parent_key,
@@ -92,7 +92,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, deletions: Data
 
     Scale: rows are reduced to distinct keys before anything is matched; only keys that are orphans, or
     younger than their earliest referring row, are joined back to the rows, and each of these is copied
-    ``SALTS`` times, so that the rows of a hot key are spread over as many tasks.
+    ``salts`` times, so that the rows of a hot key are spread over as many tasks.
     """
     rows = references.select(
         "table_name", "row_key", "ref_table", normal_key(F.col("ref_key")).alias("key"), "ref_time"
@@ -119,10 +119,10 @@ def orphan_references(references: DataFrame, parents: DataFrame, deletions: Data
             "key",
             "parent_time",
             F.when(F.col("found"), "late").when(F.col("_deleted"), "deleted").otherwise("missing").alias("kind"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
         )
     )
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("table_name", "row_key"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("table_name", "row_key"), F.lit(salts)).cast("int"))
     return (
         salted.join(suspects, ["ref_table", "key", "_salt"])
         .filter("kind <> 'late' or parent_time > ref_time")

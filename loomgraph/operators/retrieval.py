@@ -21,6 +21,7 @@ def first_then_rank(results: list[DataFrame], k: int) -> DataFrame:
     return first.select("id", "f.*").orderBy(F.desc("score"), "id").limit(k)
 
 
+# 0.5, 0.7, 0.8, 0.15 and the third to eleventh score.
 def adaptive_threshold(scores: Column) -> Column:
     """The score from which hits are kept, from an array in descending order.
 
