@@ -134,14 +134,15 @@ def _merge(left: DataFrame, capacities: dict[int, int], level: int) -> DataFrame
     return grouped.groupBy("budget_id", "_group").applyInArrow(run, "budget_id int, container string, part int, merged string, fill bigint, left_open boolean")
 
 
-def pack(sized: DataFrame, capacities: dict[int, int]) -> DataFrame:
+def pack(sized: DataFrame, capacities: dict[int, int], partitions: int | None = None) -> DataFrame:
     """budget_id, container, doc_id, piece_no, start_token, n_tokens: every item of ``sized`` in a container.
 
     ``sized``: doc_id, budget_id, n_tokens (positive); doc_ids are unique within a budget. An item over the capacity is cut into full
     pieces and a rest; every other is whole (piece_no 0). No container exceeds the budget's capacity. An empty input
-    gives an empty result. The result depends on the items and the number of shuffle partitions only.
+    gives an empty result. The result depends on the items and ``partitions`` only: the number of first tasks, by default that of the
+    shuffle partitions. A task takes about a minute for a million items; more than 64 are merged in a further level.
     """
-    partitions = max(1, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = partitions or max(1, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = checkpointed(_place(sized, capacities, partitions))
     part = F.substring_index("container", "-", 1).cast("int")
     left = placed.filter("left_open").select("budget_id", "container", "fill", part.alias("part")).distinct()
