@@ -117,6 +117,13 @@ _NAME = re.compile(
 )
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_ASCII_TOKENS = re.compile(r"[a-z0-9]+")
+
+
+def tokens(text: str) -> list[str]:
+    """Words of a text in lower case, and single characters of scripts without blanks."""
+    low = text.lower()
+    return (_ASCII_TOKENS if low.isascii() else _TOKENS).findall(low)
 
 
 def prose(text: str) -> str:
@@ -258,7 +265,7 @@ def is_refusal(response: str, prompt: str = "") -> bool:
 
 
 def _words(text: str) -> str:
-    return " ".join(_TOKENS.findall(text)).lower()
+    return " ".join(tokens(text))
 
 
 def _number(text: str) -> int:
@@ -287,12 +294,15 @@ def is_copy(prompt: str, response: str) -> bool:
         said = m[1]
     # an exact repetition is one at any length; most differ in the first word
     first, other = _TOKENS.search(said), _TOKENS.search(prompt)
-    words = [w.lower() for w in _TOKENS.findall(said)]
-    if first and other and first[0].lower() == other[0].lower() and words == [w.lower() for w in _TOKENS.findall(prompt)]:
+    words = tokens(said)
+    if first and other and first[0].lower() == other[0].lower() and words == tokens(prompt):
         return True
     if len(words) < 5:
         return False
-    asked = [w.lower() for w in _TOKENS.findall(prompt)]
+    asked = tokens(prompt)
+    known = set(asked)
+    if sum(w in known for w in words) < 0.8 * len(words):
+        return False
     pairs = set(zip(asked, asked[1:]))
     good = [p in pairs for p in zip(words, words[1:])]
     kept = sum(a or b for a, b in zip([False, *good], [*good, False]))
@@ -300,15 +310,15 @@ def is_copy(prompt: str, response: str) -> bool:
         return False
     # a whole sentence of the prompt has to be there: an answer, too, may consist of words of the question
     own_pairs = set(zip(words, words[1:]))
-    sentences = ([w.lower() for w in _TOKENS.findall(x)] for x in re.split(r"(?<=[.:!?。？！])\s+|\n+", prompt))
+    sentences = (tokens(x) for x in re.split(r"(?<=[.:!?。？！])\s+|\n+", prompt))
     if not any(len(x) > 3 and sum(q in own_pairs for q in zip(x, x[1:])) >= 0.65 * (len(x) - 1) for x in sentences):
         return False
     # a changed piece of the prompt's code is an answer; a copy repeats what was asked in words
     own, theirs = prose(said), prose(prompt)
     if not own or "```" in response and "```" not in prompt:
         return False
-    asked_words = _TOKENS.findall(theirs)
-    return len(_TOKENS.findall(own)) >= min(4, len(asked_words))
+    asked_words = tokens(theirs)
+    return len(tokens(own)) >= min(4, len(asked_words))
 
 
 def pair_defects(calls: DataFrame, model: np.ndarray) -> DataFrame:
