@@ -8,6 +8,7 @@ end-of-text trigram statistics cover all responses. Empty, refusing and copying
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -117,13 +118,27 @@ _NAME = re.compile(
 )
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
-_ASCII_TOKENS = re.compile(r"[a-z0-9]+")
+#: for texts of ASCII, which are most: all but letters and digits, or letters alone, becomes a blank
+_WORDS_OF_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()}
+_LETTERS_OF_ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def tokens(text: str) -> list[str]:
     """Words of a text in lower case, and single characters of scripts without blanks."""
     low = text.lower()
-    return (_ASCII_TOKENS if low.isascii() else _TOKENS).findall(low)
+    return low.translate(_WORDS_OF_ASCII).split() if low.isascii() else _TOKENS.findall(low)
+
+
+def _without_names(text: str) -> str:
+    """The text without addresses, tags and names of code."""
+    if "<" in text:
+        return _NAME.sub(" ", text)
+    kept = []  # nothing else that is looked for has white space in it, and most words are plain
+    for word in text.split():
+        core = word.strip(".,;:!?()")
+        plain = core.isalpha() and (core.islower() or core.istitle() or core.isupper())
+        kept.append(word if plain else _NAME.sub(" ", word))
+    return " ".join(kept)
 
 
 def prose(text: str) -> str:
@@ -131,26 +146,36 @@ def prose(text: str) -> str:
     if "```" in text:
         text = _FENCE.sub("\n", text)
     text = _QUOTED.sub(" ", _CODE_LINE.sub("", text))
-    return _NOT_LETTERS.sub(" ", _NAME.sub(" ", text)).strip().lower()
+    text = _without_names(text).lower()
+    return " ".join(text.translate(_LETTERS_OF_ASCII).split()) if text.isascii() else _NOT_LETTERS.sub(" ", text).strip()
 
 
 def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all character trigrams of all texts, and the text of each; trigrams cross no text's end."""
-    joined = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    joined = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) + 2 for t in texts])
     if len(joined) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = (joined[:-2] * np.uint64(0x9E3779B1) + joined[1:-1] * np.uint64(0x85EBCA77) + joined[2:] * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
-    h = ((h ^ (h >> np.uint64(15))) * np.uint64(0x2C1B3C6D) >> np.uint64(9)) % np.uint64(BUCKETS)
+    h = joined[:-2] * np.uint32(0x9E3779B1) + joined[1:-1] * np.uint32(0x85EBCA77) + joined[2:] * np.uint32(0xC2B2AE3D)  # modulo 2 ** 32
+    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(9)) & np.uint32(BUCKETS - 1)
     owner = np.repeat(np.arange(len(texts)), sizes)
     whole = owner[:-2] == owner[2:]
     return h[whole].astype(np.int64), owner[:-2][whole]
 
 
+#: Texts are scored in blocks of so many, which stay in a core's cache.
+SCORED = 256
+
+
 def languages(texts: list[str], model: np.ndarray) -> np.ndarray:
     """Index into LANGUAGES of each prose text, -1 where it can't be told."""
-    bucket, owner = _buckets(texts)
-    scores = np.stack([np.bincount(owner, weights=row[bucket], minlength=len(texts)) for row in model]) if len(texts) else np.zeros((len(model), 0))
+    scores, by_bucket = np.zeros((len(texts), len(model))), np.ascontiguousarray(model.T)
+    for k in range(0, len(texts), SCORED):
+        bucket, owner = _buckets(texts[k : k + SCORED])
+        if len(bucket):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))  # of each text that has any trigram
+            scores[k + owner[first]] = np.add.reduceat(by_bucket[bucket], first, axis=0)
+    scores = scores.T
     best = np.argmax(scores, 0)
     top = np.sort(scores, 0)
     letters = np.array([len(t) * (2 if re.search("[぀-ヿ㐀-鿿]", t) else 1) for t in texts])
@@ -244,12 +269,14 @@ def _no_answer(response: str, prompt: str) -> list[str]:
     text = _unfenced(response, prompt)
     if text is None:
         return []
-    sentences, asked = _SENTENCE_END.split(_QUOTED.sub(" “” ", text)), None
-    for sentence in sentences:
+    text, asked, sentences, start = _QUOTED.sub(" “” ", text), None, [], 0
+    for end in itertools.chain(_SENTENCE_END.finditer(text), [None]):  # most answers name something in their first sentence
+        sentence, start = text[start : end.start() if end else None], end.end() if end else 0
+        sentences.append(sentence)
         named = _NAMES.search(sentence) is not None
         if not named and len(sentence) > 5 * SHARED:  # a shorter one can't have so many such words
-            asked = set(_words(prompt).split()) if asked is None else asked
-            named = len({w for w in _words(sentence).split() if len(w) > 4} & asked) >= SHARED
+            asked = set(tokens(prompt)) if asked is None else asked
+            named = len({w for w in tokens(sentence) if len(w) > 4} & asked) >= SHARED
         if named and not _declines(sentence):
             return []
     return sentences
@@ -292,16 +319,11 @@ def is_copy(prompt: str, response: str) -> bool:
         said = _LABEL.sub("", said)
     if m := _WHOLE_QUOTE.match(said):
         said = m[1]
-    # an exact repetition is one at any length; most differ in the first word
-    first, other = _TOKENS.search(said), _TOKENS.search(prompt)
-    words = tokens(said)
-    if first and other and first[0].lower() == other[0].lower() and words == tokens(prompt):
+    words, asked = tokens(said), tokens(prompt)
+    if words and words == asked:  # an exact repetition is one at any length
         return True
-    if len(words) < 5:
-        return False
-    asked = tokens(prompt)
     known = set(asked)
-    if sum(w in known for w in words) < 0.8 * len(words):
+    if len(words) < 5 or sum(w in known for w in words) < 0.8 * len(words):
         return False
     pairs = set(zip(asked, asked[1:]))
     good = [p in pairs for p in zip(words, words[1:])]
