@@ -140,7 +140,7 @@ def pack(sized: DataFrame, capacities: dict[int, int], partitions: int | None =
     ``sized``: doc_id, budget_id, n_tokens (positive); doc_ids are unique within a budget. An item over the capacity is cut into full
     pieces and a rest; every other is whole (piece_no 0). No container exceeds the budget's capacity. An empty input
     gives an empty result. The result depends on the items and ``partitions`` only: the number of first tasks, by default that of the
-    shuffle partitions. A task takes about a minute for a million items; more than 64 are merged in a further level.
+    shuffle partitions. Leftovers of more than ``FAN_IN`` of them are merged in a further level.
     """
     partitions = partitions or max(1, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = checkpointed(_place(sized, capacities, partitions))
