@@ -26,8 +26,12 @@ def query(sql: str):
 _HITS = "hits AS (SELECT 'S:' || CAST(l_suppkey AS VARCHAR) AS asked, 'cat.x.' || p_name AS name, round(max(l_quantity) / 50.0E0, 4) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"
 
 
-def _hits(spark, d):
-    lines = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+def _hits(spark, d, least=None):
+    """Lines below ``least`` are left out before they are summed up: a part has that score if one of its lines has it."""
+    lines = table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity")
+    if least is not None:
+        lines = lines.filter(F.round(F.col("l_quantity") / 50.0, 4) >= least)
+    lines = lines.groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     rows = lines.join(table(spark, d, "part", F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     return rows.groupBy(F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("asked"), F.concat(F.lit("cat.x."), "p_name").alias("name")).agg(F.round(F.max("q") / 50.0, 4).alias("score"))
 
@@ -73,7 +77,7 @@ def callers_cross_repo(spark, d):
 def scope_candidates(spark, d):
     """Each supplier asks; every second one for a domain, and all with what was found for them at or above 0.9."""
     asked = table(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("asked"), F.when(F.col("s_suppkey") % 2 == 0, "GEO").otherwise("None").alias("domain"))
-    return s.scope_candidates(asked, _hits(spark, d), graph.nodes(spark, d), graph.edges(spark, d), 0.9)
+    return s.scope_candidates(asked, _hits(spark, d, 0.9), graph.nodes(spark, d), graph.edges(spark, d), 0.9)
 
 
 @query("SELECT doc_id, doc_kind, place FROM (SELECT doc_id, doc_kind, row_number() OVER (PARTITION BY doc_kind ORDER BY created_at DESC NULLS LAST, doc_id) AS place FROM documents WHERE doc_kind IN ('readme', 'config', 'build_log')) x WHERE place <= CASE doc_kind WHEN 'readme' THEN 1 WHEN 'config' THEN 2 ELSE 5 END")

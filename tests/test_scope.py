@@ -55,3 +55,53 @@ def test_sources(spark, tmp_path):
     assert files.source_files(spark, str(tmp_path / "nowhere")).count() == 0
     logs = spark.createDataFrame([("a.log", "x"), (None, "y"), ("b", "")], "n string, t string").select(files.with_header(F.col("n"), F.col("t")).alias("x"))
     assert [r.x for r in logs.collect()] == ["=== a.log ===\nx", "=== unknown ===\ny", None]
+
+
+def scope_cases(spark):
+    """Many nodes of a name, a node of several names and rows, one that is found by name and domain, questions with two domains, none, and not asked."""
+    rows = [(f"h{i}", "Hot", None, f"f{i % 3}") for i in range(40)] + [("m", "A", None, "x"), ("m", "B", "Pay", "x"), ("m", "B", "pay", None), ("p", "A", "pay", "y"), ("d", "D", "LOG", None), (None, "A", "pay", "z"), ("n", None, "pay", "w")]
+    nodes = spark.createDataFrame(rows, "node_id string, simple_name string, domain string, file_path string")
+    edges = spark.createDataFrame([("m", "p"), ("h1", "d"), ("h1", "p"), ("h1", "p"), (None, "p"), ("d", None)], "source_id string, target_id string")
+    asked = spark.createDataFrame([("q", "PAY"), ("q", "log"), ("q", "log"), ("r", None), (None, "pay"), ("s", "none")], "asked string, domain string")
+    hits = spark.createDataFrame([("q", "x.A", 0.9), ("q", "B", 1.0), ("r", "Hot", 0.95), ("r", "A", 0.95), ("r", "B", 0.95), ("t", "D", 0.9), ("t", "Hot", 0.8), (None, "A", 1.0), ("s", "A", None)], "asked string, name string, score double")
+    return asked, hits, nodes, edges
+
+
+def test_scope_candidates_are_those_of_its_sql(spark):
+    import duckdb
+    import oracle
+    from loomgraph.plans import scope as plans
+
+    asked, hits, nodes, edges = scope_cases(spark)
+    con = duckdb.connect()
+    for name, df in (("hits_", hits), ("nodes_", nodes), ("edges_", edges), ("asked_", asked)):
+        con.execute(f"CREATE TABLE {name} ({', '.join(f'{c} {"DOUBLE" if t == "double" else "VARCHAR"}' for c, t in df.dtypes)})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(df.columns))})", [tuple(r) for r in df.collect()])
+    sql = plans.SQL["scope_candidates"]
+    found = sql[sql.index(" found AS") :]
+    matched = plans._MATCHED.format("WHERE score >= 0.9")
+    sql = f"WITH nodes AS (SELECT * FROM nodes_), edges AS (SELECT * FROM edges_), hits AS (SELECT * FROM hits_), asked AS (SELECT * FROM asked_), {matched}, {found}"
+    sql = f"SELECT asked, node_id, file, accepted FROM ({sql})"
+    assert oracle.compare(s.scope_candidates(asked.distinct(), hits, nodes, edges, 0.9), sql, con) is None
+
+
+def test_scope_candidates_of_a_hot_name_are_not_shuffled(spark):
+    """The nodes of a name, for all questions that hit it, were made unique and joined by shuffles of 160,000 rows."""
+    nodes = spark.range(400).selectExpr("concat('n', id) node_id", "'Hot' simple_name", "cast(null as string) domain", "concat('f', id) file_path")
+    hits = spark.range(400).selectExpr("concat('q', id) asked", "'Hot' name", "1.0D score")
+    edges = spark.createDataFrame([("n1", "n2")], "source_id string, target_id string")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        all_ = context.statusStore().executorList(True)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        rows = s.scope_candidates(hits.select("asked", F.lit("geo").alias("domain")), hits, nodes, edges, 0.9).collect()
+        assert len(rows) == 160_000 and not any(r.accepted for r in rows) and 0 < shuffled() - before < 500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
