@@ -83,6 +83,25 @@ def test_ends_cover_the_text(name):
             assert ends[-1] == len(text.encode()) or name.startswith("piece")
 
 
+def test_ends_by_words_are_those_of_the_whole_text(monkeypatch):
+    t, r = tokenizer(TOKENIZERS, "piece_bpe_32k"), random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "the", "aB", "XML", "():", "→", "—x", "5", "12", "\r", ",", "\x7f", "日", "　", "😀", ".", "    ", "\x00", "\r\n"]
+    texts = [x for _, x in ODD if x] + ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    got = [t.ends(x) for x in texts]
+    with monkeypatch.context() as m:
+        m.setattr(t, "by_words", False)
+        assert all(np.array_equal(a, t.ends(x)) for a, x in zip(got, texts)) and len(t.ends("")) == 0
+    assert t.by_words and len(t.ends("")) == 0
+    with monkeypatch.context() as m:
+        m.setattr(t, "model", None)  # words that were met aren't encoded again
+        assert len(t.ends("the the\n5")) == t.ends("the the\n5").size > 0
+        with pytest.raises(AttributeError):
+            t.ends("unheardOfBefore")
+    m = type(t.words)(t)
+    monkeypatch.setattr(type(t.words), "HELD", 3)
+    assert b"".join(m[w] for w in (" a", "b", " the", "5", " a")) == b"".join(t.words[w] for w in (" a", "b", " the", "5", " a")) and len(m) <= 3
+
+
 def test_splitting(spark, data, odd):
     budgets = [(4, "byte_bpe_50k", 64, 16), (5, "byte_bpe_50k", 40, 0), (6, "piece_bpe_32k", 128, 8)]
     documents = table(spark, data("sf0.001"), "documents").select("doc_id", "text").union(odd.selectExpr("-doc_id", "text")).union(odd.filter("false").selectExpr("doc_id", "text"))
