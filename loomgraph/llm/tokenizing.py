@@ -3,7 +3,8 @@
 A text is cut into words by the vocabulary's pattern, and the ids of each distinct word are found once, as far as they fit
 into a bounded map. A word's bytes are the first pieces of a fold, and each step of it unites the leftmost pair of neighbours
 whose union has the lowest rank, until no union is a token. Two bytes that stand side by side in no token at all are never
-united, so words are cut there first, and the parts, of which there are far fewer different ones, are folded.
+united, nor are two where no token fits their neighbours, so words are cut there first, and the parts, of which there are far
+fewer different ones, are folded.
 
 The maps are literals of the query (scalar subqueries): arrays of small maps, found by a hash, since a lookup in a Spark map
 is linear. There are three: ranks by the bytes of a token (the rank file's size), ids by the bytes of the ``PARTS`` most
@@ -31,7 +32,7 @@ WORDS_HELD, PARTS, HELD_BYTES = 1 << 18, 1 << 17, 64
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Fixed value: the pattern by which the byte-level vocabularies cut texts, with white space spelled out.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+WORDS = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,17 +46,35 @@ def _buckets(n: int) -> int:
 
 
 def parts_pattern(ranks: dict[bytes, int]) -> str:
-    """Cuts bytes (as characters of ISO-8859-1) where two of them stand side by side in no token."""
-    after: dict[int, set[int]] = {}
+    """Cuts bytes (as characters of ISO-8859-1) where no token can lie across.
+
+    A token that lies across two bytes is these two, or has them with the byte before, or begins with them and goes on.
+    """
+    pairs: dict[int, set[int]] = {}
+    before: dict[int, dict[int, set[int]]] = {}
+    beyond: dict[int, dict[int, set[int]]] = {}
     for token in ranks:
-        for a, b in zip(token, token[1:]):
-            after.setdefault(a, set()).add(b)
-    alike: dict[frozenset[int], list[int]] = {}
-    for a, b in after.items():
-        alike.setdefault(frozenset(b), []).append(a)
+        for i, (a, b) in enumerate(zip(token, token[1:])):
+            if token[i : i + 2] in ranks:
+                pairs.setdefault(a, set()).add(b)
+            elif i:
+                before.setdefault(a, {}).setdefault(b, set()).add(token[i - 1])
+            else:
+                beyond.setdefault(a, {}).setdefault(b, set()).add(token[2])
     some = lambda codes: "[" + "".join(rf"\x{c:02x}" for c in sorted(codes)) + "]"
-    on = "|".join(f"{some(a)}(?={some(b)})" for b, a in sorted(alike.items(), key=lambda x: (-len(x[0]), x[1])))
-    return f"(?s)(?:{on})*+." if on else "(?s)."
+
+    def alike(sets: dict[int, set[int]]) -> list[tuple[str, str]]:
+        keys: dict[frozenset[int], list[int]] = {}
+        for b, x in sets.items():
+            keys.setdefault(frozenset(x), []).append(b)
+        return sorted((some(b), some(x)) for x, b in keys.items())
+
+    on: dict[str, list[int]] = {}
+    for a in sorted({*pairs, *before, *beyond}, key=lambda a: (-len(pairs.get(a, ())), a)):
+        ways = [f"(?={some(pairs[a])})"] if a in pairs else []
+        ways += [f"(?={b})(?<={x}.)" for b, x in alike(before.get(a, {}))] + [f"(?={b}{x})" for b, x in alike(beyond.get(a, {}))]
+        on.setdefault("|".join(ways), []).append(a)
+    return f"(?s)(?:{'|'.join(f'{some(a)}(?:{ways})' for ways, a in on.items())})*+." if on else "(?s)."
 
 
 def _place(key: Column, n: int) -> Column:
@@ -130,7 +149,7 @@ class Encoder:
         return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
     def parts(self, word: Column) -> Column:
-        """The bytes of a word (array<binary>), cut where no token has two of them side by side."""
+        """The bytes of a word (array<binary>), cut where no token can lie across."""
         cut = F.regexp_extract_all(F.decode(word.cast("binary"), "ISO-8859-1"), F.lit(self.pattern), F.lit(0))
         return F.transform(cut, lambda p: F.encode(p, "ISO-8859-1"))
 
@@ -159,8 +178,10 @@ class Encoder:
 
     def encode(self, df: DataFrame, text: str, name: str = "ids") -> DataFrame:
         """``df`` with the token ids of a text column (array<int>); of null and of '' none."""
-        ids = lambda look: F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(look("words", w), self._ids(look, w))))
-        return self._with_literals(df, df.columns, name, lambda look: F.coalesce(ids(look), F.array().cast("array<int>")))
+        ids = lambda look: F.transform(self.words(F.col(text)), lambda w: F.coalesce(look("words", w), self._ids(look, w)))
+        # made flat outside the functions' bodies, which aren't compiled and would make an object of each id
+        nested = self._with_literals(df, df.columns, "_ids", ids)
+        return nested.select(*df.columns, F.coalesce(F.flatten("_ids"), F.array().cast("array<int>")).alias(name))
 
     def decode(self, df: DataFrame, ids: str, name: str = "text") -> DataFrame:
         """``df`` with the text of token ids: their binary pieces, concatenated. An id that doesn't exist gives null."""

@@ -1,10 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from loomgraph.llm import packing, splitting
 from loomgraph.llm.sizes import tokenizer
-from loomgraph.llm.tokenizing import TOKENIZERS, Encoder, encode_documents
+from loomgraph.llm.tokenizing import TOKENIZERS, Encoder, encode_documents, parts_pattern, read_ranks
 from loomgraph.sources.tables import table
 
 ODD = [
@@ -39,6 +40,24 @@ def test_encoding_of_documents(spark, data):
     assert {r.doc_id: r.ids for r in encode_documents(documents, encoder).collect()} == {i: library.encode_ordinary(t or "") for i, t in texts.items()}
 
 
+def test_parts_are_cut_where_no_token_lies_across():
+    few = {t: i for i, t in enumerate([b"a", b"b", b"c", b"d", b"cd", b"abc", b"bcd"])}
+    assert [re.findall(parts_pattern(few), x) for x in ("xbcx", "abcx", "xbcd", "cdcd")] == [["x", "b", "c", "x"], ["abc", "x"], ["x", "bcd"], ["cd", "cd"]]
+    ranks, r = read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), random.Random(4)
+    cut = re.compile(parts_pattern(ranks)).findall
+    assert cut(" PaymentNodeBuilder") == [" Payment", "Node", "Builder"]  # by pairs of bytes alone it stays whole
+    tokens, longest, cuts = list(ranks), max(map(len, ranks)), 0
+    for _ in range(3000):
+        text = b"".join(t[r.randint(0, 2) :] for t in r.choices(tokens, k=4)) + r.randbytes(2)
+        parts = [x.encode("latin-1") for x in cut(text.decode("latin-1"))]
+        assert b"".join(parts) == text
+        at = 0
+        for x in parts[:-1]:
+            at, cuts = at + len(x), cuts + 1
+            assert not any(text[a:b] in ranks for a in range(max(0, at - longest), at) for b in range(at + 1, min(len(text), a + longest) + 1))
+    assert cuts > 3000
+
+
 def test_packing(spark):
     r = random.Random(1)
     sizes = [(i, b, r.choice([1, 3, 50, 99, 100, 101, 250, r.randint(1, 100)])) for i in range(4000) for b in (1, 2)]
